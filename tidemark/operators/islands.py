@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import floor_div
 from tidemark.operators.slicing import TIME_SLICE_SECONDS, fits_one_task, running, time_slice
+from tidemark.sources.heart_rate import DEFAULT_INTERVAL_SECONDS, GAP_CAP_SECONDS, interval_end
 from tidemark.specs import SUBJECT
 
 
@@ -148,3 +149,31 @@ def number_rows(df: DataFrame, order: str, out: str, keys: Sequence[str] = SUBJE
         slice_col = "_slice"
     numbered = running(df, keys, order, F.lit(1).cast("bigint"), out, fold=F.sum, slice_col=slice_col)
     return numbered.withColumn(out, F.coalesce(out, F.lit(0).cast("bigint"))).drop("_slice")
+
+
+def next_sample_intervals(
+    samples: DataFrame,
+    keys: Sequence[str] = ("subject_id", "archive_key"),
+    order: str = "seq",
+    *,
+    cap_seconds: int = GAP_CAP_SECONDS,
+    default_seconds: int = DEFAULT_INTERVAL_SECONDS,
+) -> DataFrame:
+    """Set ``effective_end`` of point samples: the next sample's start when near enough.
+
+    Samples of ``keys`` are ordered by start, then ``order`` (a number). The gap
+    counts whole seconds up to ``cap_seconds``; beyond it, and for the last
+    sample, the interval has the default length.
+    """
+    # the next start is the latest "earlier" one on the reversed axis
+    rows = samples.withColumns({
+        "_s": -F.unix_micros("effective_start"), "_o": -F.col(order),
+    })
+    slice_col = None
+    if not fits_one_task(rows):
+        rows = rows.withColumn("_slice", time_slice(F.col("_s")))
+        slice_col = "_slice"
+    rows = running(rows, keys, ["_s", "_o"], F.col("_s"), "_next", slice_col=slice_col)
+    following = F.timestamp_micros(-F.col("_next"))
+    end = interval_end(F.col("effective_start"), following, cap_seconds, default_seconds)
+    return rows.withColumn("effective_end", end).drop("_s", "_o", "_next", "_slice")

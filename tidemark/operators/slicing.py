@@ -54,7 +54,7 @@ def value_slice(value: Column) -> Column:
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     value: Column,
     out: str,
     *,
@@ -65,11 +65,13 @@ def running(
     """Add ``out`` = fold (``F.max`` or ``F.sum``) of ``value`` over earlier rows.
 
     "Earlier" is by ``order`` within ``keys``; ``inclusive`` counts the current
-    row too. With ``slice_col`` the two-level plan above is used.
+    row too. ``slice_col`` has to be monotone in the first order column. With it the two-level
+    plan above is used.
     """
+    order = [order] if isinstance(order, str) else list(order)
     upper = Window.currentRow if inclusive else -1
     within = [*keys, slice_col] if slice_col else list(keys)
-    local = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, upper)
+    local = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
     if slice_col is None:
         return df.withColumn(out, fold(value).over(local))
 

@@ -7,6 +7,8 @@ row tables reads and parses each blob once.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +138,7 @@ def rebuild(
     *,
     stage_path: str | None = None,
     stage_system: str = STAGE_SYSTEM,
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """Row tables plus ``rejects`` and ``tally``.
 
     Superseded pulls of a heart-rate day contribute to the day state only. A
@@ -149,52 +151,113 @@ def rebuild(
     if stage_path is not None:
         parsed = stage(parsed, stage_path)
 
-    good = parsed.where(F.col("reject_reason").isNull())
-    pulls = good.where(F.col("route") != A.EXTRACTION)
-    slim = pulls.select(*KEY, "kind", "source", "original_filename", "archived_at", "document_date")
-    docs = supersede(slim)
-
-    artifacts = newest_applied(good, docs)
-    dated = artifacts.select(
-        *KEY, F.col("artifact.document_date").try_cast("date").alias("_date"), F.col("artifact.title").alias("title"))
-    documents = (
-        docs.join(dated, KEY, "left")
-        .withColumn("document_date", F.coalesce("_date", "document_date"))
-        .select("subject_id", "archive_key", "kind", "source", "original_filename", "archived_at", "document_date")
-    )
-    # only heart-rate days can be superseded, so only they are matched again
-    days = pulls.where(F.col("route") == A.HEART_RATE_DAY)
-    current = days.join(docs.select(*KEY), KEY, "left_semi")
-    others = pulls.where(F.col("route") != A.HEART_RATE_DAY)
-
-    def rows(df: DataFrame, column: str) -> DataFrame:
-        return df.select(*KEY, F.inline(column))
-
-    observations = rows(current, "observations").unionByName(rows(others, "observations"))
-    return {
-        "source_documents": documents,
-        "observations": observations.select(
-            *KEY, "seq", *(f for f in _OBSERVATION_FIELDS if f != "seq")),
-        "problems": rows(others, "problems").select(
-            *KEY, "seq", "coding_system", "coding_code", "coding_display", "status", "onset_date", "section_label",
-        ).unionByName(narrative.artifact_problems(artifacts)),
-        "medications": rows(others, "medications").select(
+    def of(*routes: str) -> DataFrame:
+        return parsed.where(F.col("route").isin(*routes))
+
+    slim = ("kind", "source", "original_filename", "archived_at", "document_date")
+
+    def days():
+        return accepted(of(A.HEART_RATE_DAY), *slim, "samples_count")
+
+    def sessions():
+        return accepted(of(A.SLEEP_SESSION), *slim, "samples_count")
+
+    def docs():
+        return (
+            supersede(days()).select(*KEY, *slim)
+            .unionByName(sessions().select(*KEY, *slim))
+            .unionByName(accepted(of(A.CLINICAL_XML, A.NARRATIVE), *slim))
+        )
+
+    def artifacts():
+        found = accepted(of(A.EXTRACTION), "archived_at", "artifact")
+        return narrative.newest_artifacts(found).join(docs().select(*KEY), KEY, "left_semi")
+
+    def dated():
+        return artifacts().select(
+            *KEY, F.col("artifact.document_date").try_cast("date").alias("_date"), F.col("artifact.title").alias("title"))
+
+    def source_documents():
+        return (
+            docs().join(dated().drop("title"), KEY, "left")
+            .withColumn("document_date", F.coalesce("_date", "document_date"))
+            .drop("_date")
+        )
+
+    def observations():
+        # only heart-rate days can be superseded, so only they are matched again
+        current = supersede(days()).select(*KEY)
+        day_rows = of(A.HEART_RATE_DAY).select(*KEY, "observations").join(current, KEY, "left_semi")
+        found = rows_of(day_rows, "observations").unionByName(
+            rows_of(of(A.CLINICAL_XML, A.SLEEP_SESSION), "observations"))
+        return found.select(*KEY, "seq", *(f for f in _OBSERVATION_FIELDS if f != "seq"))
+
+    def problems():
+        fields = ("seq", "coding_system", "coding_code", "coding_display", "status", "onset_date", "section_label")
+        listed = rows_of(of(A.CLINICAL_XML), "problems").select(*KEY, *fields)
+        return listed.unionByName(narrative.artifact_problems(artifacts()))
+
+    def medications():
+        return rows_of(of(A.CLINICAL_XML), "medications").select(
             *KEY, "seq", "coding_system", "coding_code", "coding_display", "status", "dose", "route",
-            "frequency", "start_date", "end_date"),
-        "narrative_texts": others.where(F.col("route") == A.NARRATIVE)
-        .select(*KEY, "text").join(dated.select(*KEY, "title"), KEY, "left")
-        .select(*KEY, "title", "text"),
-        "source_day_state": day_states(pulls.where(F.col("samples_count").isNotNull())),
-        "rejects": parsed.where(F.col("reject_reason").isNotNull())
-        .select(*KEY, "kind", "source", "reject_reason"),
-        "tally": tally(parsed, docs),
-    }
+            "frequency", "start_date", "end_date")
+
+    def narrative_texts():
+        return (
+            accepted(of(A.NARRATIVE), "text").join(dated().drop("_date"), KEY, "left")
+            .select(*KEY, "title", "text")
+        )
+
+    return Tables(
+        source_documents=source_documents,
+        observations=observations,
+        problems=problems,
+        medications=medications,
+        narrative_texts=narrative_texts,
+        source_day_state=lambda: day_states(days().unionByName(sessions())),
+        rejects=lambda: _kept(parsed, F.col("reject_reason").isNotNull(), "kind", "source", "reject_reason"),
+        tally=lambda: tally(parsed, docs()),
+    )
+
+
+class Tables(Mapping):
+    """Tables by name, each planned when it is first asked for."""
+
+    def __init__(self, **builders: Callable[[], DataFrame]) -> None:
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def _kept(parsed: DataFrame, condition, *columns: str) -> DataFrame:
+    """Rows that satisfy a condition on parsed columns, parsing each blob once.
+
+    A plain filter would be pushed down to the scan together with the parse
+    expressions behind it and run them a second time. Here the condition picks
+    a one-row list, and the outer generator keeps the filter above it.
+    """
+    row = F.struct(*KEY, *columns)
+    listed = parsed.select(F.inline_outer(F.when(condition, F.array(row))))
+    return listed.where(F.col("archive_key").isNotNull())
+
+
+def accepted(parsed: DataFrame, *columns: str) -> DataFrame:
+    return _kept(parsed, F.col("reject_reason").isNull(), *columns)
 
 
-def newest_applied(good: DataFrame, docs: DataFrame) -> DataFrame:
-    """Newest artifact per document that exists, keyed by the document."""
-    artifacts = good.where(F.col("route") == A.EXTRACTION).select(*KEY, "archived_at", "artifact")
-    return narrative.newest_artifacts(artifacts).join(docs.select(*KEY), KEY, "left_semi")
+def rows_of(parsed: DataFrame, column: str) -> DataFrame:
+    """The nested rows of accepted blobs; a rejected blob has none."""
+    return parsed.select(*KEY, F.inline_outer(column)).where(F.col("coding_code").isNotNull())
 
 
 def tally(parsed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -214,7 +277,7 @@ def tally(parsed: DataFrame, docs: DataFrame) -> DataFrame:
         F.count_if(~good).alias("_rejected"),
     )
     newest = narrative.newest_artifacts(
-        parsed.where(good & (F.col("route") == A.EXTRACTION)).select(*KEY, "archived_at", "artifact"))
+        accepted(parsed.where(F.col("route") == A.EXTRACTION), "archived_at", "artifact"))
     known = docs.select(*KEY).withColumn("_known", F.lit(True))
     applied = newest.join(known, KEY, "left").groupBy("subject_id").agg(
         F.count("_known").alias("extractions_applied"),
