@@ -68,8 +68,9 @@ def fts():
     (dict(all_terms=["colon"], none_terms=["biopsy"]), "colon NOT biopsy"),
 ])
 def test_scores_and_snippets_equal_the_oracle(spark, fts, query, text):
-    got = {r.archive_key: (pytest.approx(r.score, rel=1e-9), r.snippet) for r in search(texts(spark), Query(**query)).collect()}
-    assert got == fts(text)
+    for index in (None, build_postings(texts(spark))):
+        found = search(texts(spark), Query(**query), postings=index).collect()
+        assert {r.archive_key: (pytest.approx(r.score, rel=1e-9), r.snippet) for r in found} == fts(text)
 
 
 def test_snippets(spark):

@@ -138,13 +138,15 @@ def assign_episodes(
     )
 
 
-def number_rows(df: DataFrame, order: str, out: str, keys: Sequence[str] = SUBJECT) -> DataFrame:
+def number_rows(
+    df: DataFrame, order: str, out: str, keys: Sequence[str] = SUBJECT, *, one_task: bool = False
+) -> DataFrame:
     """Add the zero-based position of each row in ``order`` within ``keys``.
 
     ``order`` is a long column of microseconds without ties.
     """
     slice_col = None
-    if not fits_one_task(df):
+    if not one_task:
         df = df.withColumn("_slice", time_slice(F.col(order)))
         slice_col = "_slice"
     numbered = running(df, keys, order, F.lit(1).cast("bigint"), out, fold=F.sum, slice_col=slice_col)

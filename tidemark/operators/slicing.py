@@ -30,7 +30,8 @@ def fits_one_task(df: DataFrame) -> bool:
 
     The bound is the file size for a scan, is never reduced by a filter and is
     "unlimited" for sources of unknown size, so a skewed key cannot hide
-    behind it.
+    behind it. Joins multiply their sides' bounds, so ask about the rows that
+    go into a query: its buckets, episodes and pairs are never more.
     """
     spark = df.sparkSession
     limit = int(spark.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_BYTES)))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import TOKEN, fold_text, tokens
+from tidemark.operators.lineage import computed_once
 
 # Ranking parameters and snippet shape.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -109,6 +110,41 @@ def _starts(unit: tuple[str, ...], prefix: bool) -> Column:
     return reduce(F.array_intersect, aligned)
 
 
+def _found(df: DataFrame, query: Query) -> DataFrame:
+    """Add ``_match`` and drop the excluded parts' positions."""
+    units, excluded = query.units(), query.excluded()
+    has = [F.size(f"starts{i}") > 0 for i in range(len(units))]
+    required = [h for h, (role, _, _) in zip(has, units) if role == "all"]
+    optional = [h for h, (role, _, _) in zip(has, units) if role == "any"]
+    conditions = required + ([reduce(or_, optional)] if optional else [])
+    conditions += [F.size(f"_not{i}") == 0 for i in range(len(excluded))]
+    # every document holding a part counts for that part's rarity, matching or not
+    return df.withColumn("_match", reduce(and_, conditions)).drop(*(f"_not{i}" for i in range(len(excluded))))
+
+
+def _starts_in(words: Column, unit: tuple[str, ...], prefix: bool) -> Column:
+    """Positions of a token list at which the unit starts, ascending."""
+    def at(word: Column, i: Column) -> Column:
+        hit = F.lit(True)
+        for k, term in enumerate(unit):
+            here = word if k == 0 else F.get(words, i + k)
+            hit = hit & (here.startswith(term) if prefix and k == len(unit) - 1 else here == term)
+        return F.when(hit, i)
+
+    return F.filter(F.transform(words, at), lambda i: i.isNotNull())
+
+
+def scan(texts: DataFrame, query: Query, doc: str = "archive_key", text: str = "text") -> DataFrame:
+    """The rows of ``match`` for every text, without an index and without a shuffle."""
+    words = F.col("_words")
+    listed = texts.select(doc, tokens(F.col(text)).alias("_words")).select(
+        doc, F.size(words).alias("doc_length"),
+        *(_starts_in(words, u, p).alias(f"starts{i}") for i, (_, u, p) in enumerate(query.units())),
+        *(_starts_in(words, u, False).alias(f"_not{i}") for i, u in enumerate(query.excluded())),
+    )
+    return _found(computed_once(listed), query)
+
+
 def match(postings: DataFrame, query: Query, doc: str = "archive_key") -> DataFrame:
     """``doc, doc_length, starts0, starts1, ...`` of the documents that match.
 
@@ -123,24 +159,25 @@ def match(postings: DataFrame, query: Query, doc: str = "archive_key") -> DataFr
         *(_starts(u, p).alias(f"starts{i}") for i, (_, u, p) in enumerate(units)),
         *(_starts(u, False).alias(f"_not{i}") for i, u in enumerate(excluded)),
     )
-    has = [F.size(f"starts{i}") > 0 for i in range(len(units))]
-    required = [h for h, (role, _, _) in zip(has, units) if role == "all"]
-    optional = [h for h, (role, _, _) in zip(has, units) if role == "any"]
-    conditions = required + ([reduce(or_, optional)] if optional else [])
-    conditions += [F.size(f"_not{i}") == 0 for i in range(len(excluded))]
-    # every document holding a part counts for that part's rarity, matching or not
-    return found.withColumn("_match", reduce(and_, conditions)).drop(
-        *(f"_not{i}" for i in range(len(excluded))))
+    return _found(found, query)
 
 
-def score(found: DataFrame, corpus: DataFrame, n_units: int) -> DataFrame:
-    """Matching documents with their BM25 ``score``."""
-    n_docs = corpus.select("n_docs").scalar()
-    mean_length = corpus.select("mean_length").scalar()
-    holding = found.agg(F.array(*(F.count_if(F.size(f"starts{i}") > 0) for i in range(n_units)))).scalar()
+def score(found: DataFrame, n_units: int, corpus: DataFrame | None = None) -> DataFrame:
+    """Matching documents with their BM25 ``score``.
+
+    ``corpus`` gives the number and mean length of all texts; without it
+    ``found`` has to hold every text. The counts reach the score as a scalar
+    subquery, so nothing is joined.
+    """
+    facts = [F.count_if(F.size(f"starts{i}") > 0).alias(f"df{i}") for i in range(n_units)]
+    if corpus is None:
+        facts += [F.count("*").alias("n_docs"), F.avg("doc_length").alias("mean_length")]
+    counts = found.agg(F.struct(*facts)).scalar()
+    size = counts if corpus is None else corpus.select(F.struct("n_docs", "mean_length")).scalar()
+    n_docs, mean_length = size["n_docs"], size["mean_length"]
     total = F.lit(0.0)
     for i in range(n_units):
-        df = holding[i]
+        df = counts[f"df{i}"]
         raw = F.log((n_docs - df + 0.5) / (df + 0.5))
         idf = F.when(raw <= 0, IDF_FLOOR).otherwise(raw)
         tf = F.size(f"starts{i}").cast("double")
@@ -161,15 +198,18 @@ def search(
 ) -> DataFrame:
     """The ``limit`` best hits: ``doc, score, snippet`` plus document columns.
 
-    Without a stored ``postings`` table the index of the query's terms is
-    derived from the texts on the fly. Texts and documents are joined to the
-    hits only, after the top-k.
+    With stored ``postings`` only the query's own terms are read; without them
+    every text is scanned. Texts and documents are joined to the hits only,
+    after the top-k.
     """
-    postings = build_postings(texts, doc) if postings is None else postings
-    corpus = corpus_size(texts) if corpus is None else corpus
     units = query.units()
+    if postings is None:
+        found, corpus = scan(texts, query, doc), None
+    else:
+        found = match(postings, query, doc)
+        corpus = corpus_size(texts) if corpus is None else corpus
     hits = (
-        score(match(postings, query, doc), corpus, len(units))
+        score(found, len(units), corpus)
         .orderBy("score", doc)
         .limit(limit)
     )

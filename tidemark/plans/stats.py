@@ -60,7 +60,9 @@ def stats(
     needed = [*keys, "effective_start", "effective_end", "value_quantity"]
     if confidence is not None:
         needed.append("archive_key")
-    rows = flag_provisional(rows.select(*needed), confidence, keys)
+    rows = rows.select(*needed)
+    one_task = fits_one_task(rows)
+    rows = flag_provisional(rows, confidence, keys)
     rows = rows.withColumn("_x", field_value(field, tz))
     if bucket != "none":
         rows = rows.where(F.col("_x").isNotNull())
@@ -72,7 +74,6 @@ def stats(
     groups = keys if bucket == "none" else [*keys, *sort_columns(bucket)]
     rows = rows.select(*groups, "_x", "_provisional")
 
-    one_task = fits_one_task(rows)
     aggs = [
         F.count("_x").alias("count"),
         F.avg("_x").alias("mean"),

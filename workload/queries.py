@@ -553,6 +553,16 @@ def search_phrase_prefix_not(spark, sf):
     return _hits(spark, sf, S.Query(phrases=["of the"], prefixes=["ent"], none_terms=["whou"]))
 
 
+@register(score_sql({0: count_of("der"), 1: count_of("the"), 2: "len(list_filter(range(1, len(t)), lambda i: t[i] = 'in' AND t[i + 1] = 'the'))"},
+                    "u0 > 0 OR u1 > 0 OR u2 > 0"))
+def search_stored_postings(spark, sf):
+    """The same ranking from an index table instead of a scan of the texts."""
+    texts = d.texts(spark, sf)
+    query = S.Query(any_terms=["der", "the", "in the"])
+    out = S.search(texts, query, postings=S.build_postings(texts, "doc_id"), doc="doc_id", limit=50)
+    return rounded(out.select("doc_id", "score"))
+
+
 @register(rf"""WITH {TOKENS} SELECT doc_id, len(t) AS doc_length, term, count(*) AS tf, min(pos) AS first_position
     FROM (SELECT doc_id, t, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM tok) GROUP BY ALL""")
 def postings(spark, sf):
