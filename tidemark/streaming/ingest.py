@@ -64,7 +64,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str, now=None, stage_sys
     write_state(current, f"{root}/source_documents", batch_id)
     write_state(day_states(merged.where(F.col("samples_count").isNotNull())), f"{root}/source_day_state", batch_id)
 
-    newest = rows.groupBy("subject_id", F.col("source").alias("source_name")).agg(
+    newest = fresh.groupBy("subject_id", F.col("source").alias("source_name")).agg(
         F.max("effective_start").alias("newest_sample"))
     state = read_state(spark, f"{root}/source_state", schemas.SOURCE_STATE, before=batch_id)
     stamp = instant(now) if now is not None else F.current_timestamp()

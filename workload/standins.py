@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of a table kept in fewer files than there are cores.
+
+    A file of one row group is read by one task, which would leave the
+    CPU-bound work after it without parallelism. Larger tables stay as read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as point observations of the user."""
     ts = F.col("ts").cast("timestamp")
@@ -107,7 +117,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as coded list entries; the brand is the code."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = _spread(table(spark, sf_dir, "lineitem"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_name", "p_type")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("subject_id"))
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -125,7 +135,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as narratives."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,11 +151,6 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Payloads: one archive blob per table row ----------------------------------
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all tasks: a test table is one small file, parsing is CPU-bound."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _blobs(df: DataFrame, subject, kind: str, source: str, manifest_subject, archived_at, payload) -> DataFrame:
     return df.select(
         subject.cast("string").alias("subject_id"),
