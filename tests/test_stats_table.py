@@ -1,6 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import LOINC, observations, rows, ts
+from tidemark.operators.islands import next_sample_intervals
+from tidemark.operators.ranks import average_rank, exact_percentiles
 from tidemark.plans.relationship import relationship
 from tidemark.plans.stats import stats
 from tidemark.plans.table import aligned_table
@@ -259,3 +262,21 @@ def test_subjects_together_equal_each_alone(spark, layout):
         (r for s in ("s1", "s2") for r in aligned_table(both.where(f"subject_id = '{s}'"), cols, **kw).collect()),
         key=str)
     assert together == alone and len(together) == 4
+
+
+def test_next_sample_intervals(spark, layout):
+    obs = observations(spark, [
+        ("w", "2026-01-01T00:00:00Z", None, 1.0), ("w", "2026-01-01T00:01:30Z", None, 2.0), ("w", "2026-01-01T00:03:01Z", None, 3.0),
+        ("w", "2026-01-01T00:03:01Z", None, 4.0), ("w", "2026-01-01T05:59:59Z", None, 5.0), ("w", "2026-01-01T06:00:30Z", None, 6.0)])
+    got = {r.value_quantity: (r.effective_end - r.effective_start).total_seconds() for r in next_sample_intervals(obs).collect()}
+    assert got == {1.0: 90.0, 2.0: 60.0, 3.0: 0.0, 4.0: 60.0, 5.0: 31.0, 6.0: 60.0}
+
+
+def test_split_percentiles_equal_the_built_in(spark):
+    df = spark.range(3000).select(
+        (F.col("id") % 3).alias("g"), (F.sin(F.col("id") * 7) * F.pow(F.lit(10.0), F.col("id") % 5) - (F.col("id") % 11)).alias("v"))
+    got = {r.g: r.p for r in exact_percentiles(df, ["g"], "v", (0.0, 0.25, 0.5, 0.9, 1.0), "p").collect()}
+    want = {r.g: r.p for r in df.groupBy("g").agg(F.percentile("v", [0.0, 0.25, 0.5, 0.9, 1.0]).alias("p")).collect()}
+    assert all(got[g] == pytest.approx(want[g]) for g in want) and len(got) == 3
+    ranks = [{(r.g, r.v): r.k for r in average_rank(df, ["g"], "v", "k", one_task=one).collect()} for one in (True, False)]
+    assert ranks[0] == ranks[1]
