@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import exact_dedup, langid, mixing, token_counts
+from tidemark.session import send_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return send_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n: it deals rows to training and held-out parts."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, path, keep_text=False).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(remainder(4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), model, keep_text=False)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +81,8 @@ JOIN timetable t ON n.source IS NOT DISTINCT FROM t.source AND t.nth = (r // {mi
 
 #: name -> (query, SQL or None)
 QUERIES = {
+    "op4_token_counts": (op4_token_counts, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op9_source_mixing": (op9_source_mixing, OP9_SQL),
+    "op10_language_id": (op10_language_id, None),
 }

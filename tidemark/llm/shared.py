@@ -44,6 +44,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def kept_fields(docs: DataFrame, keep_text: bool) -> list:
+    """The fields that a per-row operator passes on: all, or all but the text."""
+    return [f for f in docs.schema.fields if keep_text or f.name != "text"]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
