@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, langid, mixing, token_counts
+from tidemark.llm import exact_dedup, jaccard_join, langid, mixing, token_counts
 from tidemark.session import send_package
 
 
@@ -19,6 +19,10 @@ def remainder(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +85,7 @@ JOIN timetable t ON n.source IS NOT DISTINCT FROM t.source AND t.nth = (r // {mi
 
 #: name -> (query, SQL or None)
 QUERIES = {
+    "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op4_token_counts": (op4_token_counts, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op9_source_mixing": (op9_source_mixing, OP9_SQL),
