@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing, token_counts
+from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, langid, mixing, token_counts
 from tidemark.session import send_package
 
 
@@ -69,6 +69,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are control strings, formatted and read back."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.read_back(chat.format_segments(given.union(extra)))
+
+
+OP6_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS before,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NULL AS is_last,
+    len(regexp_extract_all(role, '{chat.CHAT.pattern}')) + len(regexp_extract_all(text, '{chat.CHAT.pattern}')) AS escapes
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(text) + escapes + {len(chat.CHAT.open + chat.CHAT.middle + chat.CHAT.close)}) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN before = '' THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
+                WHEN before = 'user' THEN role = 'assistant' ELSE false END AND (NOT is_last OR role = 'assistant')) AS valid
+FROM t GROUP BY conv_id"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -121,6 +150,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_benchmark_decontamination": (op2_benchmark_decontamination, OP2_SQL),
     "op4_token_counts": (op4_token_counts, None),
+    "op6_chat_format": (op6_chat_format, OP6_SQL),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op9_source_mixing": (op9_source_mixing, OP9_SQL),
     "op10_language_id": (op10_language_id, None),
