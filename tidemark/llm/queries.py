@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, jaccard_join, langid, mixing, token_counts
+from tidemark.llm import chat, decontaminate, exact_dedup, ftrl, jaccard_join, langid, mixing, token_counts
 from tidemark.session import send_package
 
 
@@ -69,6 +69,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = ftrl.fit(docs, labels.filter(remainder(5) != 0))
+    return ftrl.score(docs, model, keep_text=False).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are control strings, formatted and read back."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -150,6 +158,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_benchmark_decontamination": (op2_benchmark_decontamination, OP2_SQL),
     "op4_token_counts": (op4_token_counts, None),
+    "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_chat_format": (op6_chat_format, OP6_SQL),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op9_source_mixing": (op9_source_mixing, OP9_SQL),
