@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int =
     for _ in range(rounds):
         shared = context.broadcast((z, n))
         states = rows.groupBy("shard").applyInPandas(_trainer(shared), "place long, z double, n double")
-        merged = states.groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("shards")).toPandas()
-        places = merged["place"].to_numpy(np.int64)
+        merged = states.groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("shards")).toArrow()
+        places = merged["place"].to_numpy()
         z[places] += merged["z"].to_numpy() / merged["shards"].to_numpy()
         n[places] += merged["n"].to_numpy() / merged["shards"].to_numpy()
         shared.unpersist()

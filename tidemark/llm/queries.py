@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, ftrl, jaccard_join, langid, mixing, token_counts
+from tidemark.llm import chat, cross_entropy, decontaminate, exact_dedup, ftrl, jaccard_join, langid, mixing, token_counts
 from tidemark.session import send_package
 
 
@@ -117,6 +117,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS tex
 FROM d JOIN g ON d.t = g.t"""
 
 
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's loss difference, documents labelled good and not toxic being the target."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    target = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    return cross_entropy.score(docs, cross_entropy.fit(docs, target), keep_text=False)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture of sources, weighted by the root of their sizes."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_slot", "mix_position")
@@ -161,6 +168,7 @@ QUERIES = {
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_chat_format": (op6_chat_format, OP6_SQL),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op8_cross_entropy_difference": (op8_cross_entropy_difference, None),
     "op9_source_mixing": (op9_source_mixing, OP9_SQL),
     "op10_language_id": (op10_language_id, None),
 }
