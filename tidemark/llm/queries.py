@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, cross_entropy, decontaminate, exact_dedup, ftrl, jaccard_join, langid, mixing, token_counts
+from tidemark.llm import chat, cross_entropy, decontaminate, exact_dedup, ftrl, jaccard_join, langid, mixing, pii, token_counts
 from tidemark.session import send_package
 
 
@@ -56,6 +56,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+    def number_of(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(number_of, pii.KINDS), F.sha2(pii.as_text("base").cast("binary"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -164,6 +174,7 @@ JOIN timetable t ON n.source IS NOT DISTINCT FROM t.source AND t.nth = (r // {mi
 QUERIES = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_benchmark_decontamination": (op2_benchmark_decontamination, OP2_SQL),
+    "op3_personal_data": (op3_personal_data, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_chat_format": (op6_chat_format, OP6_SQL),
