@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
@@ -85,9 +85,10 @@ def _pruned(docs: DataFrame, sets: DataFrame, percent: int, n: int, alphabet: Al
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts))], names=["token", "f1"])
 
-    tokens = docs.select("text").mapInArrow(run, "token long, f1 long").repartition("token")
-    shared = tokens.groupBy("token").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low <> high").select("token")
-    met = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("f1").agg(F.count(F.lit(1)).alias("met"))
+    tokens = docs.select("text").mapInArrow(run, "token long, f1 long")
+    same = Window.partitionBy("token")  # a shingle has one row a document, of the hundreds that each has
+    shared = tokens.select("f1", F.min("f1").over(same).alias("low"), F.max("f1").over(same).alias("high")).filter("low <> high")
+    met = shared.groupBy("f1").agg(F.count(F.lit(1)).alias("met"))
     classes = sets.filter("size > 0").groupBy("size", "f1", "f2").agg(F.min("doc_id").alias("first"))
     looked_at = F.greatest(_missing(F.col("size"), percent) + 1, F.ceil(F.col("size") * PRUNE_SHARE))
     left = classes.join(met, "f1").filter(F.col("met") >= looked_at - _missing(F.col("size"), percent))
@@ -118,10 +119,11 @@ def _members(docs: DataFrame, nodes: DataFrame, n: int, alphabet: Alphabet) -> D
                     ], names=["token", "node", "size"])
 
     texts = docs.select("doc_id", "text").join(nodes.select("node", "f1", "f2", "first"), F.col("doc_id").eqNullSafe(F.col("first")))
-    tokens = texts.select("text", "node", "f1", "f2").mapInArrow(run, "token long, node long, size long").repartition("token")
-    counts = tokens.groupBy("token").agg(
-        F.count(F.lit(1)).alias("df"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token", "df")
-    rows = tokens.join(counts.hint("shuffle_hash"), "token")
+    tokens = texts.select("text", "node", "f1", "f2").mapInArrow(run, "token long, node long, size long")
+    same = Window.partitionBy("token")
+    rows = tokens.select(
+        "token", "node", "size", F.count(F.lit(1)).over(same).alias("df"),
+        F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high")).filter("low <> high")
     lists = rows.groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_set(F.struct("df", "token"))).alias("ordered"))
     return stored(lists.select(
         "node", "size", (F.col("size") - F.size("ordered")).alias("lone"),
