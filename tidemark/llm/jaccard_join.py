@@ -118,7 +118,9 @@ def _members(docs: DataFrame, nodes: DataFrame, n: int, alphabet: Alphabet) -> D
                         pa.array(np.repeat(np.array(counts, np.int64), counts)),
                     ], names=["token", "node", "size"])
 
-    texts = docs.select("doc_id", "text").join(nodes.select("node", "f1", "f2", "first"), F.col("doc_id").eqNullSafe(F.col("first")))
+    # The survivors grow with the corpus: always a shuffled join, never a broadcast of them.
+    survivors = nodes.select("node", "f1", "f2", "first").hint("merge")
+    texts = docs.select("doc_id", "text").join(survivors, F.col("doc_id").eqNullSafe(F.col("first")))
     tokens = texts.select("text", "node", "f1", "f2").mapInArrow(run, "token long, node long, size long")
     same = Window.partitionBy("token")
     rows = tokens.select(
