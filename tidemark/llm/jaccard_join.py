@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import fresh, stored, text_or_empty
 from tidemark.llm.words import NOT_SPACE, Alphabet, chunks_of, mix, shingle_sets
 
 SHINGLE = 5
@@ -50,18 +50,24 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(shingles.sum(dtype=np.uint64).view(np.int64)), int(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
+def _key() -> Column:
+    """Tells texts of rows apart that repeat an id."""
+    return F.xxhash64(text_or_empty())
+
+
 def sets_of(docs: DataFrame, n: int = SHINGLE, alphabet: Alphabet = NOT_SPACE) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_words``, ``size`` of its shingle set, ``f1``, ``f2``."""
+    """One row per row of ``docs``: ``doc_id``, ``key`` of the text, ``n_words``, ``size`` of its shingle set, ``f1``, ``f2``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(words, len(s), *_fingerprint(s)) for c in chunks_of(batch.column("text")) for s, words in shingle_sets(c, alphabet, n)]
             columns = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_words", "size", "f1", "f2"])
+                [batch.column("doc_id"), batch.column("key"), *(pa.array(c, pa.int64()) for c in columns)],
+                names=["doc_id", "key", "n_words", "size", "f1", "f2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, size long, f1 long, f2 long")
+    return docs.select("doc_id", _key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n_words long, size long, f1 long, f2 long")
 
 
 def _missing(size: Column, percent: int) -> Column:
@@ -269,7 +275,7 @@ def _compare(probes: list, held: list, percent: int) -> list[tuple[int, int]]:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, alphabet: Alphabet = NOT_SPACE) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``doc_id, n_words, n_shingles, component_id``.
+    """One row per row of ``docs(doc_id, text)``: ``doc_id, key, n_words, n_shingles, component_id``.
 
     ``component_id`` is the smallest doc_id reachable by links. A text without words, null
     included, has 0 shingles and is linked with nothing: its component is its own id. Rows
@@ -292,5 +298,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, a
     smallest = classes.join(known, ["size", "f1", "f2"], "left").select(
         "size", "f1", "f2", F.coalesce("smallest", "first").alias("component_id"))
     return sets.join(smallest, ["size", "f1", "f2"], "left").select(
-        "doc_id", "n_words", F.col("size").alias("n_shingles"),
+        "doc_id", "key", "n_words", F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, alphabet: Alphabet = NOT_SPACE) -> DataFrame:
+    """The rows of ``docs`` whose id is that of their component, with all their columns.
+
+    Of rows that repeat id and text one stays. Rows that repeat an id with different texts are
+    judged one by one.
+    """
+    found = near_duplicates(docs, percent, n, alphabet)
+    of, key, key_of, nth = fresh(docs, "kept_id", "text_key", "kept_key", "nth")
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(of), F.col("key").alias(key_of)).distinct()
+    rows = docs.withColumn(key, _key())
+    rows = rows.join(stays, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(key) == F.col(key_of)))
+    once = rows.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(key)))
+    return once.filter(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
