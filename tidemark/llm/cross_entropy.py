@@ -102,7 +102,8 @@ def fit(docs: DataFrame, target: DataFrame, words: int = WORDS) -> Models:
     vocabulary = build_vocabulary(docs, words)
     width = len(vocabulary) + CLASSES
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    marked = target.select("doc_id").distinct().withColumn("is_target", F.lit(True))
+    # The target grows with the corpus: always a shuffled join, never a broadcast of it.
+    marked = target.select("doc_id").distinct().withColumn("is_target", F.lit(True)).hint("merge")
     rows = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
