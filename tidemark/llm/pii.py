@@ -27,6 +27,8 @@ PATTERNS = {
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Characters on either side in which context words are looked for.
 REACH = 80
+#: Matches whose places are summed up in one piece.
+PIECE = 256
 ROUNDS = 3
 #: A pattern needs so many distinct seeds and this score.
 SEEDS = 4
@@ -37,20 +39,37 @@ DOUBT = 0.5
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,before:string,after:string>>"
 
 
+def _ends(lengths: Column) -> Column:
+    """Running sums, in two levels: a fold copies its list, so long lists are cut in pieces."""
+    empty = F.array().cast("array<bigint>")
+
+    def running(values: Column, begin: Column, after: bool) -> Column:
+        def add(state: Column, value: Column) -> Column:
+            at = state["at"] + value
+            return F.struct(at.alias("at"), F.concat(state["out"], F.array(at if after else state["at"])).alias("out"))
+
+        return F.aggregate(values, F.struct(begin.alias("at"), empty.alias("out")), add, lambda state: state["out"])
+
+    def placed(pieces: Column) -> Column:
+        sums = F.transform(pieces, lambda piece: F.aggregate(piece, F.lit(0).cast("bigint"), lambda x, y: x + y))
+        return F.flatten(F.zip_with(pieces, running(sums, F.lit(0).cast("bigint"), False), lambda piece, begin: running(piece, begin, True)))
+
+    cut = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(PIECE)), lambda i: F.slice(lengths, i, PIECE))
+    return F.transform(F.array(cut), placed)[0]
+
+
 def _found(text: Column, kind: str, pattern: str) -> Column:
     """All matches with their places and what stands before and after them."""
 
+    def spans(hits: Column, parts: Column, ends: Column) -> Column:
+        return F.transform(hits, lambda hit, i: F.struct(
+            F.lit(kind).alias("kind"), (ends[i] - F.char_length(hit)).alias("start"), ends[i].alias("end"), hit.alias("value"),
+            F.right(parts[i], F.lit(REACH)).alias("before"), F.left(parts[i + 1], F.lit(REACH)).alias("after")))
+
     def place(hits: Column, parts: Column) -> Column:
-        def add(state: Column, i: Column) -> Column:
-            start = state["at"] + F.char_length(parts[i])
-            end = start + F.char_length(hits[i])
-            span = F.struct(
-                F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), hits[i].alias("value"),
-                F.right(parts[i], F.lit(REACH)).alias("before"), F.left(parts[i + 1], F.lit(REACH)).alias("after"))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, add, lambda state: state["out"])
+        lengths = F.transform(hits, lambda hit, i: (F.char_length(parts[i]) + F.char_length(hit)).cast("bigint"))
+        bound = F.transform(F.array(lengths), lambda known: _ends(known))
+        return F.transform(bound, lambda ends: spans(hits, parts, ends))[0]
 
     def split(hits: Column) -> Column:
         return F.transform(F.array(F.split(text, pattern, -1)), lambda parts: place(hits, parts))[0]
