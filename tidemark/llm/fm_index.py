@@ -78,6 +78,7 @@ class FMIndex:
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges of the patterns, one per matrix row, right-aligned with -1 before them."""
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n)
+        high[(patterns >= 1 << self.levels).any(1)] = 0  # symbols that the sequence lacks
         alive = np.arange(len(patterns))
         for k in range(patterns.shape[1] - 1, -1, -1):
             alive = alive[(patterns[alive, k] >= 0) & (high[alive] > low[alive])]
