@@ -13,12 +13,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture(params=["one_task", "sliced"])
-def layout(request, spark):
-    """Run a test with the plain windows and with the sliced ones."""
-    limit = str(1 << 60) if request.param == "one_task" else "0"
-    spark.conf.set("tidemark.singleTaskBytes", limit)
-    yield request.param
-    spark.conf.unset("tidemark.singleTaskBytes")

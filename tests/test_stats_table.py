@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helpers import LOINC, observations, rows, ts
@@ -24,7 +25,7 @@ def weights(spark):
     ])
 
 
-def test_stats_flat(spark, layout):
+def test_stats_flat(spark):
     out = stats(weights(spark), W, end="2026-01-18T00:00:00Z", thresholds=[400.0]).collect()
     assert len(out) == 1
     r = out[0]
@@ -34,7 +35,7 @@ def test_stats_flat(spark, layout):
     assert r["confidence"] == "confirmed"
 
 
-def test_stats_type7_and_single(spark, layout):
+def test_stats_type7_and_single(spark):
     obs = observations(spark, [("w", f"2026-01-0{i}T00:00:00Z", None, float(i)) for i in (1, 2, 3, 4)])
     r = stats(obs, W).collect()[0]
     assert (r.p25, r.p50, r.p75) == (1.75, 2.5, 3.25)
@@ -42,7 +43,7 @@ def test_stats_type7_and_single(spark, layout):
     assert (r["count"], r.sd, r.p50) == (1, None, 2.0)
 
 
-def test_stats_empty_without_keys(spark, layout):
+def test_stats_empty_without_keys(spark):
     r = stats(weights(spark), S, keys=()).collect()
     assert len(r) == 1 and r[0]["count"] == 0 and r[0]["mean"] is None and r[0]["p50"] is None
     assert stats(weights(spark), S, keys=(), bucket="day").collect() == []
@@ -90,7 +91,7 @@ def test_aligned_rows(spark):
     assert rows(out, "value_0", "value_1") == [(380.0, 60.0), (400.0, 80.0), (420.0, 70.0), (440.0, None)]
 
 
-def test_aggregates_null_and_zero(spark, layout):
+def test_aggregates_null_and_zero(spark):
     obs = observations(spark, [
         ("w", "2026-01-01T01:00:00Z", None, 1.0), ("w", "2026-01-01T02:00:00Z", None, 4.0),
         ("w", "2026-01-02T01:00:00Z", None, None), ("h", "2026-01-03T01:00:00Z", None, 5.0),
@@ -120,7 +121,7 @@ def intervals(spark):
     ])
 
 
-def test_range_aggregates(spark, layout):
+def test_range_aggregates(spark):
     cols = [
         Column(S, "duration_in_range", value_min=1, value_max=4),
         Column(S, "longest_run_in_range", value_min=1, value_max=4),
@@ -142,7 +143,7 @@ def test_range_in_half_open_window(spark):
     assert rows(out, "value_0") == [(60.0,)]
 
 
-def test_episode_table(spark, layout):
+def test_episode_table(spark):
     spec = EpisodeSpec(S)
     cols = [Column(H), Column(S, "longest_run_in_range", value_min=1, value_max=4)]
     out = aligned_table(intervals(spark), cols, bucket="episode", episode=spec, ordered=True)
@@ -154,7 +155,7 @@ def test_episode_table(spark, layout):
     assert rows(out, "bucket_key", "count", "p50") == [("2026-06-26T22:00:00Z", 2, 55.0)]
 
 
-def test_relationship(spark, layout):
+def test_relationship(spark):
     r = relationship(weights(spark), Column(W), Column(H), threshold=400.0).collect()[0]
     assert r.n_pairs == 3 and r.pearson_r == pytest.approx(0.5) and (r.x_mean, r.y_mean) == (400.0, 70.0)
     assert (r.x_below_count, r.x_below_mean, r.x_below_sd) == (1, 60.0, None)
@@ -166,7 +167,7 @@ def test_relationship(spark, layout):
     assert r.n_pairs == 0 and r.pearson_r is None and r.x_mean is None
 
 
-def test_spearman_and_constant(spark, layout):
+def test_spearman_and_constant(spark):
     obs = observations(spark, [
         *(("w", f"2026-01-1{i}T02:00:00Z", None, v) for i, v in enumerate((380.0, 400.0, 420.0, 440.0))),
         *(("h", f"2026-01-1{i}T03:00:00Z", None, v) for i, v in enumerate((60.0, 61.0, 63.0, 80.0))),
@@ -178,7 +179,7 @@ def test_spearman_and_constant(spark, layout):
     assert r.pearson_r is None and r.spearman_r is None and r.y_sd == 0.0
 
 
-def test_spearman_ties(spark, layout):
+def test_spearman_ties(spark):
     xs, ys = (1.0, 2.0, 2.0, 4.0), (10.0, 30.0, 20.0, 40.0)
     obs = observations(spark, [
         *(("w", f"2026-01-1{i}T02:00:00Z", None, v) for i, v in enumerate(xs)),
@@ -205,7 +206,7 @@ def test_hour_lag_over_fall_back(spark):
     assert (r.n_pairs, r.y_mean) == (1, 9.0)
 
 
-def test_episode_lag_counts_empty_episodes(spark, layout):
+def test_episode_lag_counts_empty_episodes(spark):
     obs = observations(spark, [
         ("s", "2026-01-01T00:00:00Z", "2026-01-01T01:00:00Z", 1.0),
         ("s", "2026-01-02T00:00:00Z", "2026-01-02T01:00:00Z", 1.0),
@@ -251,7 +252,7 @@ def test_call_rules(spark):
             relationship(obs, Column(W), Column(H), bucket=bucket)
 
 
-def test_subjects_together_equal_each_alone(spark, layout):
+def test_subjects_together_equal_each_alone(spark):
     base = intervals(spark)
     other = base.withColumn("value_quantity", base.value_quantity + 1)
     both = base.unionByName(other.replace("s1", "s2", "subject_id"))
@@ -264,7 +265,7 @@ def test_subjects_together_equal_each_alone(spark, layout):
     assert together == alone and len(together) == 4
 
 
-def test_next_sample_intervals(spark, layout):
+def test_next_sample_intervals(spark):
     obs = observations(spark, [
         ("w", "2026-01-01T00:00:00Z", None, 1.0), ("w", "2026-01-01T00:01:30Z", None, 2.0), ("w", "2026-01-01T00:03:01Z", None, 3.0),
         ("w", "2026-01-01T00:03:01Z", None, 4.0), ("w", "2026-01-01T05:59:59Z", None, 5.0), ("w", "2026-01-01T06:00:30Z", None, 6.0)])
@@ -278,5 +279,20 @@ def test_split_percentiles_equal_the_built_in(spark):
     got = {r.g: r.p for r in exact_percentiles(df, ["g"], "v", (0.0, 0.25, 0.5, 0.9, 1.0), "p").collect()}
     want = {r.g: r.p for r in df.groupBy("g").agg(F.percentile("v", [0.0, 0.25, 0.5, 0.9, 1.0]).alias("p")).collect()}
     assert all(got[g] == pytest.approx(want[g]) for g in want) and len(got) == 3
-    ranks = [{(r.g, r.v): r.k for r in average_rank(df, ["g"], "v", "k", one_task=one).collect()} for one in (True, False)]
+    plain = df.select("g", "v", (F.rank().over(Window.partitionBy("g").orderBy("v")) + (F.count("v").over(Window.partitionBy("g", "v")) - 1) / 2.0).alias("k"))
+    ranks = [{(r.g, r.v): r.k for r in x.collect()} for x in (average_rank(df, ["g"], "v", "k"), plain)]
     assert ranks[0] == ranks[1]
+
+
+def test_percentiles_at_infinities(spark):
+    df = spark.createDataFrame([(float(v),) for v in ("1", "2", "inf", "nan")], "v double")
+    got = exact_percentiles(df, [], "v", (1 / 3, 2 / 3, 1.0), "p").first().p
+    assert got[:2] == [2.0, float("inf")] and got[2] != got[2]
+
+
+def test_one_key_with_most_rows_in_a_narrow_range(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 100 == 0, "few").otherwise("most").alias("g"), (36 + (F.col("id") * 7919 % 2001) / 1000).alias("v"))
+    got = {r.g: r.p for r in exact_percentiles(rows, ["g"], "v", (0.25, 0.5, 0.75), "p").collect()}
+    want = {r.g: r.p for r in rows.groupBy("g").agg(F.percentile("v", [0.25, 0.5, 0.75]).alias("p")).collect()}
+    assert all(got[g] == pytest.approx(want[g]) for g in want) and len(got) == 2

@@ -64,10 +64,10 @@ def coding_values(spark: SparkSession, stage_system: str | None = None) -> DataF
 def coding_definitions(spark: SparkSession, stage_system: str | None = None) -> DataFrame:
     """One row per minted coding with its meaning, its values and usage hints."""
     about = F.struct(
-        F.lit("Sleep stage per five-minute epoch; start and end bound the epoch.").alias("description"),
-        F.lit("Stage number; 0 is wake, 1 and above is asleep.").alias("value_quantity_meaning"),
-        F.lit("Stage name of the number.").alias("value_string_meaning"),
-        F.array(F.lit("Asleep totals: a range aggregate with value_min 1 and value_max 4.")).alias("hints"),
+        F.lit("What a sleeper did in one epoch of a night; an observation spans its epoch.").alias("description"),
+        F.lit("Code of the state, ascending from wake.").alias("value_quantity_meaning"),
+        F.lit("Name that goes with the code.").alias("value_string_meaning"),
+        F.array(F.lit("aligned_table: duration_in_range over the sleeping codes sums a night's sleep.")).alias("hints"),
     )
     values = coding_values(spark, stage_system)
     return (

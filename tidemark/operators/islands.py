@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import floor_div
-from tidemark.operators.slicing import TIME_SLICE_SECONDS, fits_one_task, running, time_slice
+from tidemark.operators.slicing import TIME_SLICE_SECONDS, running, time_slice
 from tidemark.sources.heart_rate import DEFAULT_INTERVAL_SECONDS, GAP_CAP_SECONDS, interval_end
 from tidemark.specs import SUBJECT
 
@@ -46,16 +46,12 @@ def detect_episodes(
     if gap_seconds < 0:
         raise ValueError("gap_seconds must be >= 0")
     rows = _micros(intervals, keys)
-    slice_col = None
-    if not fits_one_task(rows):
-        # only the largest end per start can matter
-        rows = rows.groupBy(*keys, "_s").agg(F.max("_e").alias("_e"))
-        rows = rows.withColumn("_slice", time_slice(F.col("_s")))
-        slice_col = "_slice"
-    rows = running(rows, keys, "_s", F.col("_e"), "_reach", slice_col=slice_col)
+    # only the largest end per start can matter
+    rows = rows.groupBy(*keys, time_slice(F.col("_s")).alias("_slice"), "_s").agg(F.max("_e").alias("_e"))
+    rows = running(rows, keys, "_s", F.col("_e"), "_reach", slice_col="_slice")
     rows = running(
         rows, keys, "_s", F.when(_new_island(gap_seconds), F.col("_s")), "_island",
-        inclusive=True, slice_col=slice_col,
+        inclusive=True, slice_col="_slice",
     )
     return (
         rows.groupBy(*keys, "_island")
@@ -84,18 +80,14 @@ def runs(
         raise ValueError("gap_seconds must be >= 0")
     ties = [t for t in ties if t in intervals.columns]
     rows = _micros(intervals, keys, *ties)
-    rows = rows.groupBy(*keys, "_s").agg(
+    rows = rows.groupBy(*keys, time_slice(F.col("_s")).alias("_slice"), "_s").agg(
         F.max_by("_e", F.struct(*ties, "_e")).alias("_e")
     )
-    slice_col = None
-    if not fits_one_task(rows):
-        rows = rows.withColumn("_slice", time_slice(F.col("_s")))
-        slice_col = "_slice"
-    rows = running(rows, keys, "_s", F.struct("_s", "_e"), "_last", slice_col=slice_col)
+    rows = running(rows, keys, "_s", F.struct("_s", "_e"), "_last", slice_col="_slice")
     rows = rows.withColumn("_reach", F.col("_last._e"))
     rows = running(
         rows, keys, "_s", F.when(_new_island(gap_seconds), F.col("_s")), "_island",
-        inclusive=True, slice_col=slice_col,
+        inclusive=True, slice_col="_slice",
     )
     return (
         rows.groupBy(*keys, "_island")
@@ -138,18 +130,13 @@ def assign_episodes(
     )
 
 
-def number_rows(
-    df: DataFrame, order: str, out: str, keys: Sequence[str] = SUBJECT, *, one_task: bool = False
-) -> DataFrame:
+def number_rows(df: DataFrame, order: str, out: str, keys: Sequence[str] = SUBJECT) -> DataFrame:
     """Add the zero-based position of each row in ``order`` within ``keys``.
 
     ``order`` is a long column of microseconds without ties.
     """
-    slice_col = None
-    if not one_task:
-        df = df.withColumn("_slice", time_slice(F.col(order)))
-        slice_col = "_slice"
-    numbered = running(df, keys, order, F.lit(1).cast("bigint"), out, fold=F.sum, slice_col=slice_col)
+    df = df.withColumn("_slice", time_slice(F.col(order)))
+    numbered = running(df, keys, order, F.lit(1).cast("bigint"), out, fold=F.sum, slice_col="_slice")
     return numbered.withColumn(out, F.coalesce(out, F.lit(0).cast("bigint"))).drop("_slice")
 
 
@@ -171,11 +158,8 @@ def next_sample_intervals(
     rows = samples.withColumns({
         "_s": -F.unix_micros("effective_start"), "_o": -F.col(order),
     })
-    slice_col = None
-    if not fits_one_task(rows):
-        rows = rows.withColumn("_slice", time_slice(F.col("_s")))
-        slice_col = "_slice"
-    rows = running(rows, keys, ["_s", "_o"], F.col("_s"), "_next", slice_col=slice_col)
+    rows = rows.withColumn("_slice", time_slice(F.col("_s")))
+    rows = running(rows, keys, ["_s", "_o"], F.col("_s"), "_next", slice_col="_slice")
     following = F.timestamp_micros(-F.col("_next"))
     end = interval_end(F.col("effective_start"), following, cap_seconds, default_seconds)
     return rows.withColumn("effective_end", end).drop("_s", "_o", "_next", "_slice")

@@ -1,9 +1,7 @@
-"""Cutting lineage where a costly intermediate is read several times."""
+"""Keeping a costly intermediate from being computed twice."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +14,3 @@ def computed_once(df: DataFrame) -> DataFrame:
     output. Nothing is shuffled or stored.
     """
     return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably, so that later steps read it instead of redoing it.
-
-    The folder is the session's ``spark.checkpoint.dir``. A temporary one is
-    used in local mode only; a cluster without a shared folder keeps the
-    lineage, which is slower but right.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -67,17 +67,14 @@ def exact_percentiles(
             F.max(rank - low).alias(f"_f{i}"),
         ]
         a, b, f = (F.col(f"_{c}{i}") for c in "abf")
-        results.append(a + (b - a) * f)
+        # at a rank itself, and between infinities, no difference is taken
+        between = F.when(F.abs(b - a) < float("inf"), a + (b - a) * f).otherwise(a * (1 - f) + b * f)
+        results.append(F.when((f == 0) | (a == b), a).otherwise(between))
     return positions.groupBy(*groups).agg(*aggs).select(*groups, F.array(*results).alias(out))
 
 
-def average_rank(df: DataFrame, groups: Sequence[str], value: str, out: str, *, one_task: bool) -> DataFrame:
+def average_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
     """Add the 1-based rank of ``value`` in its group; ties share their mean position."""
-    if one_task:
-        ordered = Window.partitionBy(*groups).orderBy(F.col(value).asc_nulls_last())
-        tied = Window.partitionBy(*groups, value)
-        rank = F.rank().over(ordered) + (F.count(value).over(tied) - 1) / 2.0
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
     positions = value_positions(df, groups, value).select(
         *groups, value, (F.col("_lo") + (F.col("_n") + 1) / 2.0).alias(out)
     )

@@ -1,11 +1,11 @@
 """Ordered windows that survive a key holding most of the rows.
 
-A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. When
-the input is provably small that is the cheapest plan and it is used as is.
-Otherwise the ordered axis of every key is cut into slices: the window runs
-inside (key, slice), one summary row per slice is folded over the key, and the
-fold result is joined back as the slice's carry-in. The fold sees one row per
-slice, never the rows themselves.
+A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. So the
+ordered axis of every key is cut into slices: the window runs inside
+(key, slice), one summary row per slice is folded over the key, and the fold
+result is joined back as the slice's carry-in. The fold sees one row per slice,
+never the rows themselves. The plan is the same for every input size; the two
+uses of the rows share one shuffle.
 """
 
 from __future__ import annotations
@@ -17,31 +17,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import floor_div
 
-SINGLE_TASK_CONF = "tidemark.singleTaskBytes"
-SINGLE_TASK_BYTES = 64 * 1024 * 1024
-
 #: Width of a time slice. A slice of one key holds at most one row per
 #: distinct instant after ties are folded.
 TIME_SLICE_SECONDS = 6 * 3600
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the optimizer's size bound of ``df`` is below the one-task limit.
-
-    The bound is the file size for a scan, is never reduced by a filter and is
-    "unlimited" for sources of unknown size, so a skewed key cannot hide
-    behind it. Joins multiply their sides' bounds, so ask about the rows that
-    go into a query: its buckets, episodes and pairs are never more.
-    """
-    spark = df.sparkSession
-    limit = int(spark.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_BYTES)))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except (AttributeError, TypeError):  # no local plan, e.g. a remote session
-        return False
-    return size <= limit
-
-
 def time_slice(micros: Column) -> Column:
     return floor_div(micros, TIME_SLICE_SECONDS * 1_000_000)
 
@@ -49,7 +29,8 @@ def time_slice(micros: Column) -> Column:
 def value_slice(value: Column) -> Column:
     """Slice of a double, monotone in the value; about 1/4096 relative width."""
     scaled = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096.0)
-    return F.when(F.isnan(value), F.lit(2**62)).otherwise(scaled)
+    infinite = (F.signum(value) * 2**61).cast("bigint")
+    return F.when(F.isnan(value), F.lit(2**62)).when(F.abs(value) == float("inf"), infinite).otherwise(scaled)
 
 
 def running(
@@ -61,21 +42,17 @@ def running(
     *,
     fold: Callable[[Column], Column] = F.max,
     inclusive: bool = False,
-    slice_col: str | None = None,
+    slice_col: str,
 ) -> DataFrame:
     """Add ``out`` = fold (``F.max`` or ``F.sum``) of ``value`` over earlier rows.
 
     "Earlier" is by ``order`` within ``keys``; ``inclusive`` counts the current
-    row too. ``slice_col`` has to be monotone in the first order column. With it the two-level
-    plan above is used.
+    row too. ``slice_col`` has to be monotone in the first order column.
     """
     order = [order] if isinstance(order, str) else list(order)
     upper = Window.currentRow if inclusive else -1
-    within = [*keys, slice_col] if slice_col else list(keys)
+    within = [*keys, slice_col]
     local = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
-    if slice_col is None:
-        return df.withColumn(out, fold(value).over(local))
-
     before = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         df.groupBy(*within).agg(fold(value).alias("_part"))

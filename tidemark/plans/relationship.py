@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.buckets import shifted, sort_columns
 from tidemark.operators.islands import number_rows
-from tidemark.operators.lineage import cut_lineage
 from tidemark.operators.ranks import average_rank, exact_percentiles
-from tidemark.operators.slicing import fits_one_task
-from tidemark.plans.observations import select_codings
 from tidemark.plans.table import aligned_table
 from tidemark.specs import PAIRING_BUCKETS, SUBJECT, Column, EpisodeSpec, check_bucket
 
@@ -43,16 +40,13 @@ def lagged_pairs(
         obs, [x, y], start=start, end=end, bucket=bucket, tz=tz, episode=episode, keys=keys
     )
     vx, vy = (c for c in table.columns if c not in {*keys, "bucket_key", "bucket_sort", "bucket_offset", "confidence"})
-    one_task = fits_one_task(select_codings(obs, [x.coding, y.coding]))
     both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     if lag == 0:
         pairs = table.select(*keys, F.col(vx).alias("_x"), F.col(vy).alias("_y"))
         return pairs.select(*keys, F.when(both, F.col("_x")).alias("x"), F.when(both, F.col("_y")).alias("y"))
 
     if bucket == "episode":
-        if not one_task:
-            table = cut_lineage(table)  # numbering reads it twice
-        table = number_rows(table, "bucket_sort", "_at", keys, one_task=one_task)
+        table = number_rows(table, "bucket_sort", "_at", keys)
         at, moved = {"_at": F.col("_at")}, {"_at": F.col("_at") + lag}
     else:
         at = {f"_{c}": F.col(c) for c in sort_columns(bucket)}
@@ -101,11 +95,8 @@ def relationship(
     pairs = lagged_pairs(
         obs, x, y, start=start, end=end, bucket=bucket, tz=tz, lag=lag, episode=episode, keys=keys
     )
-    one_task = fits_one_task(select_codings(obs, [x.coding, y.coding]))
-    if not one_task:
-        pairs = cut_lineage(pairs)  # one row per bucket, read once per rank and side
-    ranked = average_rank(pairs, keys, "x", "_rx", one_task=one_task)
-    ranked = average_rank(ranked, keys, "y", "_ry", one_task=one_task)
+    ranked = average_rank(pairs, keys, "x", "_rx")
+    ranked = average_rank(ranked, keys, "y", "_ry")
 
     aggs = [
         F.count("x").alias("n_pairs"),
@@ -126,18 +117,17 @@ def relationship(
                 F.min(value).alias(f"{side}_min"),
                 F.max(value).alias(f"{side}_max"),
             ]
-            if one_task:
-                aggs.append(F.percentile(value, 0.5).alias(f"{side}_p50"))
     out = ranked.groupBy(*keys).agg(*aggs)
-    if not one_task:
-        for side, condition in sides.items():
-            half = exact_percentiles(pairs.where(condition), keys, "y", (0.5,), "_half")
-            if keys:
-                out = out.join(half, keys, "left")
-            else:
-                out = out.withColumn("_half", half.scalar())
-            out = out.withColumn(f"{side}_p50", F.col("_half")[0]).drop("_half")
-    return out
+    columns = [c for c in out.columns if not c.startswith(tuple(sides))] if sides else out.columns
+    for side, condition in sides.items():
+        half = exact_percentiles(pairs.where(condition), keys, "y", (0.5,), "_half")
+        if keys:
+            out = out.join(half, keys, "left")
+        else:
+            out = out.withColumn("_half", half.scalar())
+        out = out.withColumn(f"{side}_p50", F.col("_half")[0]).drop("_half")
+        columns += [f"{side}_{name}" for name in ("count", "mean", "sd", "min", "max", "p50")]
+    return out.select(*columns)
 
 
 def _correlation(x: str, y: str) -> SparkColumn:

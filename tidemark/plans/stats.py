@@ -11,7 +11,6 @@ from tidemark.functions.buckets import bucket_columns, bucket_key, field_value,
 from tidemark.operators.confidence import confidence_label, flag_provisional
 from tidemark.operators.islands import assign_episodes, detect_episodes
 from tidemark.operators.ranks import exact_percentiles
-from tidemark.operators.slicing import fits_one_task
 from tidemark.plans.observations import select_codings
 from tidemark.specs import FIELDS, SUBJECT, Coding, EpisodeSpec, check_bucket, check_zone, in_window, one_of
 
@@ -61,7 +60,6 @@ def stats(
     if confidence is not None:
         needed.append("archive_key")
     rows = rows.select(*needed)
-    one_task = fits_one_task(rows)
     rows = flag_provisional(rows, confidence, keys)
     rows = rows.withColumn("_x", field_value(field, tz))
     if bucket != "none":
@@ -83,15 +81,12 @@ def stats(
         F.bool_or(F.col("_provisional") & F.col("_x").isNotNull()).alias("_open"),
         *(F.count_if(F.col("_x") < float(t)).alias(f"_below{i}") for i, t in enumerate(thresholds)),
     ]
-    if one_task:
-        aggs.append(F.percentile("_x", list(QUARTILES)).alias("_q"))
     out = rows.groupBy(*groups).agg(*aggs)
-    if not one_task:
-        quartiles = exact_percentiles(rows, groups, "_x", QUARTILES, "_q")
-        if groups:
-            out = out.join(quartiles, groups, "left")
-        else:
-            out = out.withColumn("_q", quartiles.scalar())
+    quartiles = exact_percentiles(rows, groups, "_x", QUARTILES, "_q")
+    if groups:
+        out = out.join(quartiles, groups, "left")
+    else:
+        out = out.withColumn("_q", quartiles.scalar())
 
     columns = [F.col(k) for k in keys]
     if bucket != "none":

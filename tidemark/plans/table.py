@@ -12,7 +12,6 @@ from tidemark.functions.buckets import bucket_columns, bucket_key, field_value,
 from tidemark.operators.confidence import confidence_label, flag_provisional
 from tidemark.operators.islands import assign_episodes, runs
 from tidemark.operators.ranks import exact_percentiles
-from tidemark.operators.slicing import fits_one_task
 from tidemark.plans.observations import select_codings
 from tidemark.plans.stats import episodes_of
 from tidemark.specs import SUBJECT, Column, EpisodeSpec, check_bucket, check_zone, in_window
@@ -77,7 +76,6 @@ def aligned_table(
             longest = bucketed(chained, "run_start").select(*groups, F.col("minutes").alias(f"_run{i}"))
             inputs = inputs.unionByName(longest, allowMissingColumns=True)
 
-    one_task = fits_one_task(rows)
     medians = [i for i, c in enumerate(columns) if c.aggregate == "median"]
     out = inputs.groupBy(*groups).agg(
         F.bool_or("_provisional").alias("_open"),
@@ -85,13 +83,12 @@ def aligned_table(
         *(
             _reduced(c, i).alias(f"_v{i}")
             for i, c in enumerate(columns)
-            if one_task or i not in medians
+            if i not in medians
         ),
     ).where(F.col("_seen") > 0)
-    if not one_task:
-        for i in medians:
-            half = exact_percentiles(inputs, groups, f"_x{i}", (0.5,), f"_m{i}")
-            out = out.join(half, groups, "left").withColumn(f"_v{i}", F.col(f"_m{i}")[0])
+    for i in medians:
+        half = exact_percentiles(inputs, groups, f"_x{i}", (0.5,), f"_m{i}")
+        out = out.join(half, groups, "left").withColumn(f"_v{i}", F.col(f"_m{i}")[0])
 
     if episodes is not None:
         every = episodes.select(*keys, F.unix_micros("episode_start").alias("bucket_sort"))
@@ -133,8 +130,6 @@ def _reduced(c: Column, i: int) -> SparkColumn:
     simple = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
     if c.aggregate in simple:
         return simple[c.aggregate](x)
-    if c.aggregate == "median":
-        return F.percentile(x, 0.5)
     if c.aggregate == "count":
         return F.when(has_rows, F.count(x).cast("double"))
     if c.aggregate == "duration_in_range":

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.clinical import LOINC_OID, hl7_date, hl7_timestamp, system_for_oid
+from tidemark.functions.numbers import floor_div
 
 # Root namespace and the section codes.
 NAMESPACE = "urn:hl7-org:v3"
@@ -49,8 +50,9 @@ def document_problem(text: Column, doc: Column) -> Column:
 
 
 def document_date(doc: Column) -> Column:
+    """The day of the document's time in UTC, whatever the session's zone."""
     at = hl7_timestamp(_first(doc["effectiveTime"])["_value"])
-    return F.to_date(F.date_format(at, "yyyy-MM-dd"))
+    return F.date_from_unix_date(floor_div(F.unix_seconds(at), 86_400).cast("int"))
 
 
 def _first(items: Column) -> Column:

@@ -25,16 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Spread the rows of a table kept in fewer files than there are cores.
-
-    A file of one row group is read by one task, which would leave the
-    CPU-bound work after it without parallelism. Larger tables stay as read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as point observations of the user."""
     ts = F.col("ts").cast("timestamp")
@@ -117,7 +107,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as coded list entries; the brand is the code."""
-    lines = _spread(table(spark, sf_dir, "lineitem"))
+    lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_name", "p_type")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("subject_id"))
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -135,7 +125,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as narratives."""
-    return _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +155,7 @@ def _blobs(df: DataFrame, subject, kind: str, source: str, manifest_subject, arc
 
 def heart_rate_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a day payload of two samples 30 s apart (the value as the rate)."""
-    events = _spread(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
     iso = lambda shift: F.date_format(at + F.make_dt_interval(secs=F.lit(shift)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     point = lambda shift, bpm: F.struct(F.struct(
@@ -179,7 +169,7 @@ def heart_rate_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sleep_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a sleep session; the digits of id and value become stages."""
-    events = _spread(table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
     digits = F.concat(F.col("event_id").cast("string"), F.floor(F.col("value") * 100).cast("bigint").cast("string"))
     iso = lambda shift: F.date_format(at + F.make_dt_interval(secs=F.lit(shift)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -195,7 +185,7 @@ def sleep_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clinical_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line as a clinical XML document with all four coded sections."""
-    lines = _spread(table(spark, sf_dir, "lineitem"))
+    lines = table(spark, sf_dir, "lineitem")
     day = F.date_format(F.col("l_shipdate"), "yyyyMMdd")
     loinc, snomed, rxnorm = (f"2.16.840.1.113883.6.{n}" for n in (1, 96, 88))
     section = lambda code, *entries: [
