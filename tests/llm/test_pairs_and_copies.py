@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import exact_dedup, jaccard_join
@@ -75,6 +76,48 @@ def test_links_between_components_are_found(sent, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == component
 
 
+def test_pruning_keeps_every_linked_pair_of_sizes():
+    """All sizes up to 300, what only one of the two sets has at the lowest or the highest hashes."""
+    percent = 80
+    for n in range(1, 301):
+        for m in range(n, 100 * n // percent + 1):
+            shared = -(-percent * (n + m) // (100 + percent))
+            if shared > n:
+                continue
+            low_n, low_m = n - shared, m - shared
+            for first_n in (0, low_n):
+                for first_m in (0, low_m):
+                    # The shared ones are next to each other: those of a prefix are the first of them.
+                    met = min(
+                        min(max(jaccard_join._prune_prefix(n, percent) - first_n, 0), shared),
+                        min(max(jaccard_join._prune_prefix(m, percent) - first_m, 0), shared))
+                    assert met >= jaccard_join._prune_matches(n, percent), (n, m)
+                    assert met >= jaccard_join._prune_matches(m, percent), (n, m)
+
+
+def test_link_with_extra_shingles_at_the_lowest_hashes(sent):
+    """9 shingles inside 11, the two others lowest: the prefixes of 3 meet once."""
+    from tidemark.llm.words import NOT_SPACE, chunks_of, shingle_sets
+
+    def hashes(text):
+        return next(s for c in chunks_of(pa.array([text])) for s, _ in shingle_sets(c, NOT_SPACE, 5))
+
+    rows = []
+    for k in range(20_000):
+        text = " ".join(f"t{k}w{i}" for i in range(13))
+        more = f"{text} t{k}y t{k}z"
+        extra = set(hashes(more)) - set(hashes(text))
+        if extra <= set(hashes(more)[:3]):
+            rows += [(2 * len(rows), text), (2 * len(rows) + 1, more)]
+        if len(rows) == 20:
+            break
+    assert len(rows) == 20
+    got = jaccard_join.near_duplicates(sent.createDataFrame(rows, "doc_id long, text string")).collect()
+    component, _ = brute_components(rows)
+    assert len(set(component.values())) == 10
+    assert {r.doc_id: r.component_id for r in got} == component
+
+
 def test_levels_trade_prefix_for_matches():
     assert jaccard_join.choose_level(np.array([2] * 50), 1, 100) == 1
     assert jaccard_join.choose_level(np.array([2000] * 50), 10, 100) > 1

@@ -9,8 +9,8 @@ Each set chooses its own l by the estimated cost of its candidates; two sets mus
 smaller of their l. The smaller set of a pair has the tighter bound on T and so the shorter
 prefix; shingles that no other set has cannot be shared, which bounds the overlap from above.
 
-1. Pruning: sets whose lowest-hashed quarter has too few shingles in common with any other
-   set have no partner. Most documents leave here, and only survivors are counted in full.
+1. Pruning: sets whose lowest-hashed quarter has fewer shingles in common with those of others
+   than any two linked sets must have, have no partner. Most documents leave here, and only survivors are counted in full.
 2. Survivors' shingles get their frequencies; each set is stored as its ordered list of the
    shared ones.
 3. Each set is compared with one pivot, the set nearest to the core of a group of copies, and
@@ -25,9 +25,11 @@ No step samples, caps or drops candidates: the result is exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,11 +72,6 @@ def sets_of(docs: DataFrame, n: int = SHINGLE, alphabet: Alphabet = NOT_SPACE) -
     return docs.select("doc_id", _key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n_words long, size long, f1 long, f2 long")
 
 
-def _missing(size: Column, percent: int) -> Column:
-    """How many shingles of a set a partner may lack."""
-    return size - F.expr(f"({percent} * size + 99) div 100")
-
-
 def _pruned(docs: DataFrame, sets: DataFrame, percent: int, n: int, alphabet: Alphabet) -> DataFrame:
     """Classes that may have a partner: ``node, size, f1, f2, first`` (its smallest doc_id)."""
 
@@ -96,8 +93,14 @@ def _pruned(docs: DataFrame, sets: DataFrame, percent: int, n: int, alphabet: Al
     shared = tokens.select("f1", F.min("f1").over(same).alias("low"), F.max("f1").over(same).alias("high")).filter("low <> high")
     met = shared.groupBy("f1").agg(F.count(F.lit(1)).alias("met"))
     classes = sets.filter("size > 0").groupBy("size", "f1", "f2").agg(F.min("doc_id").alias("first"))
-    looked_at = F.greatest(_missing(F.col("size"), percent) + 1, F.ceil(F.col("size") * PRUNE_SHARE))
-    left = classes.join(met, "f1").filter(F.col("met") >= looked_at - _missing(F.col("size"), percent))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = pa.array([_prune_matches(size, percent) for size in batch.column("size").to_pylist()], pa.int64())
+            yield batch.filter(pc.greater_equal(batch.column("met"), least))
+
+    joined = classes.join(met, "f1")
+    left = joined.mapInArrow(keep, joined.schema)
     return stored(left.select(F.monotonically_increasing_id().alias("node"), "size", "f1", "f2", "first"), "jaccard-nodes")
 
 
@@ -105,6 +108,20 @@ def _prune_prefix(size: int, percent: int) -> int:
     return max(size - (percent * size + 99) // 100 + 1, int(np.ceil(size * PRUNE_SHARE)))
 
 
+@lru_cache(100_000)
+def _prune_matches(size: int, percent: int) -> int:
+    """How many shingles the prefixes of a set and of any partner have in common at least.
+
+    All shared shingles of the prefix that ends at the lower hash are in the other one too. Which
+    of the two ends first is not known: the smaller number counts, over all sizes of partners.
+    """
+    other = np.arange(-(-percent * size // 100), 100 * size // percent + 1)
+    overlap = -(-percent * (size + other) // (100 + percent))
+    prefix = np.maximum(other - (percent * other + 99) // 100 + 1, np.ceil(other * PRUNE_SHARE).astype(np.int64))
+    own = _prune_prefix(size, percent) - (size - overlap)
+    return max(1, int(np.minimum(own, prefix - (other - overlap)).min()))
+
+
 def _members(docs: DataFrame, nodes: DataFrame, n: int, alphabet: Alphabet) -> DataFrame:
     """``node, size, lone, tokens``: the shared shingles of a set by frequency, ``lone`` others."""
 
