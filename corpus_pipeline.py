@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their place in the mixture, sources weighing as the root of their sizes."""
-    return mixing.mix(docs)
+    return mixing.mix_exact(docs)
 
 
 STAGES = [
