@@ -1,5 +1,6 @@
 """The operators that judge one text at a time, against brute force or the library they answer for."""
 
+import collections
 import hashlib
 import random
 import re
@@ -179,6 +180,42 @@ def test_cross_entropy_equals_brute_force(sent, odd_documents, no_documents):
     assert cross_entropy.score(no_documents, cross_entropy.fit(no_documents, target)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 50, 1 << 16])
+def test_cross_entropy_keeps_every_word(sent, monkeypatch, hot):
+    """1,500 words, each as rare as the others, in the corpus and in texts of which a part is unseen."""
+    monkeypatch.setattr(cross_entropy, "HOT", hot)
+    rng = random.Random(11)
+    rows = [(k, " ".join(f"w{rng.randrange(750) + 750 * (k % 2)}" for _ in range(40))) for k in range(200)]
+    rows += [(200, rows[3][1]), (201, rows[3][1])]
+    other = [(300, "w1 w2 neverseen w760 w1 w2"), (301, rows[4][1]), (302, None), (302, "")]
+    docs, more = (sent.createDataFrame(r, "doc_id long, text string") for r in (rows, other))
+    models = cross_entropy.fit(docs, sent.createDataFrame([(k,) for k in range(0, 200, 2)], "doc_id long"))
+    pair, single, begin = [[collections.Counter() for _ in range(2)] for _ in range(3)]
+    for d, text in rows:
+        seq = text.split()
+        for h, w in zip(["", *seq], seq, strict=False):
+            for k in range(2):
+                n = 1 if k else int(d < 200 and d % 2 == 0)
+                pair[k][h, w] += n
+                single[k][w] += n
+                begin[k][h] += n
+    total = [sum(s.values()) for s in single]
+    scale, width = (1.0, total[0] / total[1]), len(single[1]) + 1
+
+    def loss(k, h, w):
+        one = (single[k][w] * scale[k] + 1) / (total[0] + width)
+        return -np.log((pair[k][h, w] * scale[k] + 8 * one) / (begin[k][h] * scale[k] + 8))
+
+    for given in (docs, more):
+        got = cross_entropy.score(given, models).collect()
+        assert len(got) == given.count()
+        for r in got:
+            seq = (r.text or "").split()
+            want = [np.mean([loss(k, h, w) for h, w in zip(["", *seq], seq, strict=False)]) if seq else 0 for k in range(2)]
+            assert r.n_words == len(seq)
+            assert np.allclose([r.target_loss, r.background_loss, r.score], [*want, want[0] - want[1]], atol=1e-6)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

@@ -1,14 +1,16 @@
-"""Scoring by cross-entropy difference: two bigram models over one vocabulary.
-
-The vocabulary is the ``WORDS`` most frequent words of all documents and ``CLASSES`` classes of
-other words, by their length and border characters. The target model counts the bigrams of
-target documents, the background model those of all documents; both have the same smoothing,
-and the background's counts are scaled to the target's mass, so that the two are matched. A
-document's score is the mean over its words of target loss minus background loss: the lower,
-the more it is like the target.
-
-Words and bigrams are counted over the whole corpus, summed per task before the shuffle. The
-models are tables of a fixed size, which is what allows them to be broadcast.
+"""Scoring by cross-entropy difference: two bigram models over all words of the corpus.
+
+The target model counts the bigrams of target documents, the background model those of all
+documents; both have the same smoothing, and the background's counts are scaled to the target's
+mass, so that the two are matched. A document's score is the mean over its words of target loss
+minus background loss: the lower, the more it is like the target.
+
+Bigrams are counted over the whole corpus, summed per task before the shuffle, and both models
+are Spark tables keyed by (history, word), by word and by history: they grow with the corpus.
+Documents meet them in a shuffled join on their distinct bigrams. The ``HOT`` most frequent
+bigrams are looked up in the task instead, with the same losses, so that no key of the join is
+in very many documents. With ``words`` given only the most frequent words keep an identity and
+others fall into ``CLASSES`` classes by their length and border characters.
 """
 
 from __future__ import annotations
@@ -18,25 +20,33 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import fresh, kept_fields
-from tidemark.llm.words import NOT_SPACE, Chunk, Words, chunks_of, words_of
+from tidemark.llm.shared import fresh, stored, text_or_empty
+from tidemark.llm.words import NOT_SPACE, Chunk, Words, chunks_of, first_words, mix, words_of
 
-WORDS = 1000
 CLASSES = 24
+#: Bigrams whose losses are sent to every task.
+HOT = 1 << 16
 #: Weight of the unigram model against a history's counts.
 MASS = 8.0
 #: Entries that a counting task holds before it passes them on.
 HELD = 2_000_000
+#: Stands for the beginning of a text as a history.
+BEGIN = np.uint64(0x5BD1E995A2F3C4D7)
 
 
 class Models(NamedTuple):
-    vocabulary: np.ndarray  # sorted word hashes
-    target: np.ndarray  # loss of (history, word); the last history is a text's beginning
-    background: np.ndarray
+    vocabulary: np.ndarray | None  # sorted hashes of the words that have an identity; None: all
+    pairs: DataFrame  # history, word, target, background: losses
+    words: DataFrame  # word, target, background: counts
+    histories: DataFrame  # history, target, background: counts
+    n_target: int
+    n_background: int
+    width: int  # words and classes, or words and one for those never seen
+    hot: tuple[np.ndarray, ...]  # key (sorted), history, word, target, background
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -63,105 +73,196 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def build_vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+def build_vocabulary(docs: DataFrame, words: int) -> np.ndarray:
     """The most frequent words' hashes, sorted; ties go to the smaller hash."""
     rows = count_words(docs).orderBy(F.desc("count"), "word").limit(words).collect()
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
 
 
-def numbers(chunk: Chunk, found: Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Each word's number: its place in the vocabulary, or after it its class."""
-    size = len(vocabulary)
-    if len(found.hash) == 0:
-        return np.zeros(0, np.int64)
+def identities(chunk: Chunk, found: Words, vocabulary: np.ndarray | None) -> np.ndarray:
+    """Each word's hash, or that of its class if the word is not in the vocabulary."""
+    if vocabulary is None or len(found.hash) == 0:
+        return found.hash
     last, first = chunk.data[found.end - 1], chunk.data[found.start]
     kind = np.where(last >= 0x80, 2, np.where((last | 0x20) - 0x61 < 26, 0, 1))
     capital = (first >= 0x41) & (first <= 0x5A)
-    out = size + np.minimum((found.end - found.start - 1) // 4, 3) * 6 + kind * 2 + capital
-    if size:
-        at = np.minimum(np.searchsorted(vocabulary, found.hash), size - 1)
-        out = np.where(vocabulary[at] == found.hash, at, out)
+    out = mix((np.minimum((found.end - found.start - 1) // 4, 3) * 6 + kind * 2 + capital).astype(np.uint64) + BEGIN)
+    if len(vocabulary):
+        at = np.minimum(np.searchsorted(vocabulary, found.hash), len(vocabulary) - 1)
+        out = np.where(vocabulary[at] == found.hash, found.hash, out)
     return out
 
 
-def bigrams(chunk: Chunk, found: Words, vocabulary: np.ndarray) -> np.ndarray:
-    """``history * width + word`` for every word; the beginning of a text is a history."""
-    width = len(vocabulary) + CLASSES
-    word = numbers(chunk, found, vocabulary)
-    before = np.concatenate(([width], word[:-1])) if len(word) else word
-    before[np.concatenate(([True], found.doc[1:] != found.doc[:-1])) if len(word) else []] = width
-    return before * width + word
+def bigrams(chunk: Chunk, found: Words, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """History and word of every word; the beginning of a text is a history."""
+    word = identities(chunk, found, vocabulary)
+    if len(word) == 0:
+        return word, word
+    history = np.concatenate(([BEGIN], word[:-1]))
+    history[np.concatenate(([True], found.doc[1:] != found.doc[:-1]))] = BEGIN
+    return history, word
+
+
+def _pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(history * np.uint64(0x9E3779B97F4A7C15) + mix(word))
+
+
+def count_bigrams(rows: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
+    """``history, word, target, background`` (counts) of ``rows(text, is_target)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
 
+        def merged(parts: list[tuple]) -> tuple:
+            key, history, word, target, background = (np.concatenate(c) for c in zip(*parts, strict=True))
+            _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+            sums = [np.bincount(inverse, c, len(at)).astype(np.int64) for c in (target, background)]
+            return key[at], history[at], word[at], *sums
 
-def fit(docs: DataFrame, target: DataFrame, words: int = WORDS) -> Models:
+        def out(part: tuple) -> pa.RecordBatch:
+            arrays = [pa.array(part[1].view(np.int64)), pa.array(part[2].view(np.int64)), pa.array(part[3]), pa.array(part[4])]
+            return pa.RecordBatch.from_arrays(arrays, names=["history", "word", "target", "background"])
+
+        for batch in batches:
+            is_target = batch.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
+            for chunk in chunks_of(batch.column("text")):
+                found = words_of(chunk, NOT_SPACE)
+                history, word = bigrams(chunk, found, vocabulary)
+                if len(word):
+                    own = is_target[chunk.first + found.doc].astype(np.int64)
+                    held.append(merged([(_pair_keys(history, word), history, word, own, np.ones(len(word), np.int64))]))
+                    size += len(held[-1][0])
+                if size > HELD:
+                    yield out(merged(held))
+                    held, size = [], 0
+        if held:
+            yield out(merged(held))
+
+    counts = rows.mapInArrow(run, "history long, word long, target long, background long")
+    return counts.groupBy("history", "word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def _loss(pair: Column, word: Column, history: Column, scale: float, total: float, width: int) -> Column:
+    single = (word * F.lit(scale) + 1) / F.lit(float(total * scale + width))
+    return -F.log((pair * F.lit(scale) + MASS * single) / (history * F.lit(scale) + MASS))
+
+
+def _scale(n_target: int, n_background: int) -> float:
+    return n_target / n_background if n_target else 1.0
+
+
+def _losses(pairs: DataFrame, words: DataFrame, histories: DataFrame, n_target: int, n_background: int, width: int, keep: list[str]) -> DataFrame:
+    """``keep`` and the losses of ``pairs(history, word, target, background)``; what was never counted has 0."""
+    of = lambda df, key, name: df.select(key, *(F.col(c).alias(f"{name}_{c}") for c in ("target", "background")))
+    rows = pairs.join(of(words, "word", "w").hint("merge"), "word", "left").join(of(histories, "history", "h").hint("merge"), "history", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0))
+    return rows.select(*keep, *(
+        _loss(F.col(c), zero(f"w_{c}"), zero(f"h_{c}"), scale, total, width).alias(c)
+        for c, scale, total in (("target", 1.0, n_target), ("background", _scale(n_target, n_background), n_background))))
+
+
+def fit(docs: DataFrame, target: DataFrame, words: int | None = None) -> Models:
     """Models of ``docs(doc_id, text)``; the ids in ``target(doc_id)`` are the target's documents.
 
     Every text counts in the background, in the target those whose id is in ``target``; an id
     repeated there counts once. Null texts have no words.
     """
-    vocabulary = build_vocabulary(docs, words)
-    width = len(vocabulary) + CLASSES
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    vocabulary = None if words is None else build_vocabulary(docs, words)
     # The target grows with the corpus: always a shuffled join, never a broadcast of it.
     marked = target.select("doc_id").distinct().withColumn("is_target", F.lit(True)).hint("merge")
     rows = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    counts = stored(count_bigrams(rows, vocabulary), "bigram-counts")
+    both = [F.sum(c).alias(c) for c in ("target", "background")]
+    singles = stored(counts.groupBy("word").agg(*both), "bigram-words")
+    histories = stored(counts.groupBy("history").agg(*both), "bigram-histories")
+    total = singles.agg(F.count(F.lit(1)).alias("n"), *both).first()
+    n_target, n_background = total["target"] or 0, total["background"] or 0
+    width = total["n"] + 1 if vocabulary is None else len(vocabulary) + CLASSES
+    pairs = stored(_losses(
+        counts.withColumn("n", F.col("background")), singles, histories, n_target, n_background, width, ["history", "word", "n"]), "bigram-losses")
+    top = pairs.orderBy(F.desc("n"), "history", "word").limit(HOT).select("history", "word", "target", "background").toArrow()
+    history, word = (top[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("history", "word"))
+    key = _pair_keys(history, word)
+    order = np.argsort(key)
+    hot = tuple(c[order] for c in (key, history, word, top["target"].to_numpy(), top["background"].to_numpy()))
+    return Models(vocabulary, pairs.drop("n"), singles, histories, n_target, n_background, width, hot)
+
+
+_PARTS = "text_key long, n_words long, history long, word long, n long, hot_target double, hot_background double"
+
+
+def _text_parts(texts: DataFrame, models: Models) -> DataFrame:
+    """Distinct bigrams of ``texts(text_key, text)`` with their counts, and one row a text of its hot ones' summed losses."""
+    shared = texts.sparkSession.sparkContext.broadcast((models.vocabulary, models.hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        totals = np.zeros((2, (width + 1) * width), np.int64)
+        vocabulary, (hot_key, hot_history, hot_word, *hot_losses) = shared.value
         for batch in batches:
-            is_target = batch.column("is_target").to_numpy(zero_copy_only=False)
+            keys = batch.column("text_key").to_numpy()
             for chunk in chunks_of(batch.column("text")):
                 found = words_of(chunk, NOT_SPACE)
-                pair = bigrams(chunk, found, vocabulary)
-                own = is_target[chunk.first + found.doc].astype(bool)
-                for k, part in enumerate((pair[own], pair)):
-                    np.add.at(totals[k], *np.unique(part, return_counts=True))
-        seen = np.flatnonzero(totals[1])
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(totals[0][seen]), pa.array(totals[1][seen])], names=["pair", "target", "background"])
-
-    counts = rows.mapInArrow(run, "pair long, target long, background long").groupBy("pair").agg(
-        F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    pair = counts["pair"].to_numpy()
-    tables = []
-    for name in ("target", "background"):
-        table = np.zeros((width + 1) * width)
-        table[pair] = counts[name].to_numpy()
-        tables.append(table.reshape(width + 1, width))
-    if tables[0].sum() > 0:
-        tables[1] *= tables[0].sum() / tables[1].sum()
-    return Models(vocabulary, *(_losses(t) for t in tables))
-
-
-def _losses(counts: np.ndarray) -> np.ndarray:
-    single = (counts.sum(0) + 1) / (counts.sum() + counts.shape[1])
-    return -np.log((counts + MASS * single) / (counts.sum(1, keepdims=True) + MASS)).astype(np.float32)
+                history, word = bigrams(chunk, found, vocabulary)
+                if len(word) == 0:
+                    continue
+                key = _pair_keys(history, word)
+                is_hot = np.zeros(len(word), bool)
+                if len(hot_key):
+                    at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
+                    is_hot = (hot_key[at] == key) & (hot_history[at] == history) & (hot_word[at] == word)
+                n_words = np.diff(first_words(found.doc, chunk.n))
+                sums = [np.bincount(found.doc[is_hot], t[at[is_hot]], chunk.n) if len(hot_key) else np.zeros(chunk.n) for t in hot_losses]
+                some = np.flatnonzero(n_words)
+                cold = np.flatnonzero(~is_hot)
+                _, first, n = np.unique(mix(key[cold] + found.doc[cold].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True, return_counts=True)
+                cold = cold[first]
+                text = keys[chunk.first : chunk.first + chunk.n]
+                # The rows of sums find no bigram: their history is the text's key, which spreads them.
+                none, doc = np.zeros(len(some), np.int64), found.doc[cold]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate((text[some], text[doc]))), pa.array(np.concatenate((n_words[some], n_words[doc])).astype(np.int64)),
+                    pa.array(np.concatenate((text[some], history[cold].view(np.int64)))), pa.array(np.concatenate((none, word[cold].view(np.int64)))),
+                    pa.array(np.concatenate((none, n)).astype(np.int64)),
+                    *(pa.array(np.concatenate((s[some], np.zeros(len(cold))))) for s in sums),
+                ], names=["text_key", "n_words", "history", "word", "n", "hot_target", "hot_background"])
+
+    return texts.mapInArrow(run, _PARTS)
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """Mean losses per text. Equal texts have one key: their sums of words and losses grow alike."""
+    n = F.sum(F.when(F.col("n") == 0, F.col("n_words")))
+    return rows.groupBy("text_key").agg(
+        F.max("n_words").alias("n_words"),
+        *((F.sum(F.col(f"hot_{c}") + F.col("n") * F.coalesce(c, F.lit(0.0))) / n).alias(c) for c in ("target", "background")),
+        F.sum(F.when(F.col("target").isNull(), F.col("n")).otherwise(0)).alias("unseen"))
 
 
 def score(docs: DataFrame, models: Models, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_words``, ``target_loss``, ``background_loss`` (means) and ``score``, their difference.
 
-    A text without words, null included, has losses and score 0. Rows are independent.
+    A text without words, null included, has losses and score 0. Equal texts have equal scores.
     """
-    kept = kept_fields(docs, keep_text)
-    names = fresh(docs, "n_words", "target_loss", "background_loss", "score")
-    types = (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
-    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in zip(names, types, strict=True))])
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        tables = [t.ravel() for t in (models.target, models.background)]
-        for batch in batches:
-            parts = []
-            for chunk in chunks_of(batch.column("text")):
-                found = words_of(chunk, NOT_SPACE)
-                pair = bigrams(chunk, found, models.vocabulary)
-                n = np.bincount(found.doc, minlength=chunk.n)
-                means = [np.bincount(found.doc, t[pair], chunk.n) / np.maximum(n, 1) for t in tables]
-                parts.append((n, *means, means[0] - means[1]))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, int), *([np.zeros(0)] * 3)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in kept), pa.array(columns[0].astype(np.int64)), *(pa.array(c) for c in columns[1:])], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+    n_words, target, background, total, key, of, length = fresh(
+        docs, "n_words", "target_loss", "background_loss", "score", "text_key", "text_key_of", "text_words")
+    texts = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), "text")
+    parts = _text_parts(texts, models).join(models.pairs.hint("shuffle_hash"), ["history", "word"], "left")
+    sums = stored(_summed(parts), "bigram-sums")
+    if sums.filter("unseen > 0").limit(1).count():
+        # Texts that the models were not fitted on: bigrams that were never counted have the smoothing's losses.
+        again = texts.join(sums.filter("unseen > 0").select("text_key").distinct().hint("merge"), "text_key", "left_semi")
+        rows = _text_parts(again, models).join(models.pairs.hint("shuffle_hash"), ["history", "word"], "left")
+        lost = rows.filter("target is null and n > 0").withColumns({"target": F.lit(0), "background": F.lit(0)})
+        columns = ["text_key", "n_words", "n", "hot_target", "hot_background"]
+        priced = _losses(lost, models.words, models.histories, models.n_target, models.n_background, models.width, columns)
+        known = rows.filter("target is not null or n = 0").select(*columns, "target", "background")
+        sums = sums.filter("unseen = 0").union(_summed(known.union(priced)))
+    sums = sums.select(
+        F.col("text_key").alias(of), F.col("n_words").alias(length), F.col("target").alias(target), F.col("background").alias(background)).hint("merge")
+    kept = [c for c in docs.columns if keep_text or c != "text"]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.xxhash64(text_or_empty()).alias(key))
+    joined = rows.join(sums, F.col(key) == F.col(of), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return joined.select(
+        *(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(length), F.lit(0).cast("long")).alias(n_words),
+        zero(target).alias(target), zero(background).alias(background), (zero(target) - zero(background)).alias(total))
