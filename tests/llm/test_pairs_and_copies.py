@@ -118,6 +118,23 @@ def test_link_with_extra_shingles_at_the_lowest_hashes(sent):
     assert {r.doc_id: r.component_id for r in got} == component
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_numbers_of_links_equal_brute_force(sent, odd_documents, no_documents, monkeypatch, block):
+    """All links count, also those inside a group of near copies, and rows of equal sets one by one."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = near_copies(5, groups=4, size=20)
+    got = jaccard_join.near_duplicates(sent.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
+    sets = {d: shingles(t) for d, t in rows}
+    want = {a: sum(a != b and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    assert {r.doc_id: r.n_links for r in got} == want and len(got) == len(rows)
+    assert max(want.values()) > 4 and any(0 < want[a] < max(want.values()) for a in want)
+    by = collections.defaultdict(list)
+    for r in jaccard_join.near_duplicates(odd_documents, links=True).collect():
+        by[r.doc_id].append(r.n_links)
+    assert by[1] == [1, 1] and by[2] == by[3] == by[5] == [0] and by[7] == by[8] == [1] and by[None] == [1]
+    assert jaccard_join.near_duplicates(no_documents, links=True).count() == 0
+
+
 def test_levels_trade_prefix_for_matches():
     assert jaccard_join.choose_level(np.array([2] * 50), 1, 100) == 1
     assert jaccard_join.choose_level(np.array([2000] * 50), 10, 100) > 1

@@ -272,28 +272,61 @@ def _unpack(cell) -> list[tuple[int, int, np.ndarray]]:
     return [(node, size, np.asarray(t.values)) for node, size, t in zip(rows.field("node").to_pylist(), rows.field("size").to_pylist(), tokens, strict=True)]
 
 
-def _compare(probes: list, held: list, percent: int) -> list[tuple[int, int]]:
-    """One link, if there is any, of each probe with the sets held."""
+def _linked(probes: list, held: list, percent: int) -> Iterator[np.ndarray]:
+    """For each probe the places of the sets held that it is linked with."""
     owner = np.repeat(np.arange(len(held)), [len(t) for _, _, t in held])
     tokens = np.concatenate([t for _, _, t in held])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     sizes = np.array([size for _, size, _ in held])
-    found = []
-    for node, size, own in probes:
+    for _, size, own in probes:
         low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
         count = high - low
         at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
         share = np.bincount(owner[at], minlength=len(held))
-        good = np.flatnonzero((100 + percent) * share >= percent * (sizes + size))
-        if len(good):
-            found.append((node, held[good[0]][0]))
-    return found
+        yield np.flatnonzero((100 + percent) * share >= percent * (sizes + size))
+
+
+def _compare(probes: list, held: list, percent: int) -> list[tuple[int, int]]:
+    """One link, if there is any, of each probe with the sets held."""
+    return [(node, held[good[0]][0]) for (node, _, _), good in zip(probes, _linked(probes, held, percent), strict=True) if len(good)]
+
+
+def _node_links(nodes: DataFrame, members: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``size, f1, f2, others``: to how many rows with other sets each set is linked, where there are any.
 
+    Linked sets are in one component, so that only sets of a component are compared, block by
+    block, and only one count a set and block leaves a task. Classes count as often as they
+    have rows.
+    """
+    copies = sets.filter("size > 0").groupBy("size", "f1", "f2").agg(F.count(F.lit(1)).alias("copies"))
+    known = nodes.join(components, "node").join(copies, ["size", "f1", "f2"]).select("node", "component", "f1", "f2", "copies")
+    counts = known.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
+    placed = members.join(known, "node").join(counts, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
+    row = F.struct("node", "size", "tokens", "copies")
+    blocks = stored(placed.groupBy("component", "n_blocks", "block").agg(F.collect_list(row).alias("held")), "jaccard-blocks")
+    # Every block is sent to each block of its component: pairs of blocks are spread, not one task's.
+    probes = blocks.select("component", F.col("held").alias("probes"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for probes, held in zip(batch.column("probes"), batch.column("held"), strict=True):
+                copies = np.asarray(held.values.field("copies"))
+                asked, other = _unpack(probes), _unpack(held)
+                nodes_held = np.array([node for node, _, _ in other])
+                linked = [int(copies[good[nodes_held[good] != a[0]]].sum()) for a, good in zip(asked, _linked(asked, other, percent), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([a[0] for a in asked], pa.int64()), pa.array(linked, pa.int64())], names=["node", "others"])
+
+    found = probes.join(blocks.select("component", "block", "held"), ["component", "block"]).select("probes", "held").mapInArrow(run, "node long, others long")
+    total = found.groupBy("node").agg(F.sum("others").alias("others"))
+    return total.join(nodes, "node").select("size", "f1", "f2", "others")
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, alphabet: Alphabet = NOT_SPACE) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, alphabet: Alphabet = NOT_SPACE, links: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, key, n_words, n_shingles, component_id``.
 
+    With ``links`` also ``n_links``: the number of other rows that the row is linked with.
+
     ``component_id`` is the smallest doc_id reachable by links. A text without words, null
     included, has 0 shingles and is linked with nothing: its component is its own id. Rows
     that repeat an id are taken one by one; a null id is never the smallest, unless it is the
@@ -303,20 +336,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, a
     nodes = _pruned(docs, sets, percent, n, alphabet)
     members = _members(docs, nodes, n, alphabet)
     postings = _postings(members, percent)
-    links = stored(_pivot_links(postings, members, percent), "jaccard-links")
-    components = connected(links)
+    first = stored(_pivot_links(postings, members, percent), "jaccard-links")
+    components = connected(first)
     pairs = _component_pairs(postings, components, percent)
     more = stored(_block_links(pairs, members, components, percent), "jaccard-links")
-    components = connected(links.union(more))
+    components = connected(first.union(more))
     placed = _with_component(nodes, components)
     firsts = placed.groupBy("component").agg(F.min("first").alias("smallest"))
     known = stored(placed.join(firsts, "component").select("size", "f1", "f2", "smallest"), "jaccard-known")
     classes = sets.filter("size > 0").groupBy("size", "f1", "f2").agg(F.min("doc_id").alias("first"))
     smallest = classes.join(known, ["size", "f1", "f2"], "left").select(
         "size", "f1", "f2", F.coalesce("smallest", "first").alias("component_id"))
-    return sets.join(smallest, ["size", "f1", "f2"], "left").select(
-        "doc_id", "key", "n_words", F.col("size").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    columns = ["doc_id", "key", "n_words", F.col("size").alias("n_shingles"),
+               F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if links:
+        others = _node_links(nodes, members, components, sets, percent)
+        rows = sets.filter("size > 0").groupBy("size", "f1", "f2").agg(F.count(F.lit(1)).alias("rows"))
+        counted = rows.join(others, ["size", "f1", "f2"], "left").select(
+            "size", "f1", "f2", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        smallest = smallest.join(counted, ["size", "f1", "f2"])
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return sets.join(smallest, ["size", "f1", "f2"], "left").select(*columns)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, alphabet: Alphabet = NOT_SPACE) -> DataFrame:
