@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, cross_entropy, decontaminate, exact_dedup, ftrl, jaccard_join, langid, mixing, pii, token_counts
+from tidemark.llm import (
+    chat, chunked_bpe, cross_entropy, decontaminate, exact_dedup, ftrl, jaccard_join, langid, mixing, pii, token_alignment, token_counts, turn_repair,
+)
+from tidemark.llm.shared import sha256_hex, stored
 from tidemark.session import send_package
 
 
@@ -184,6 +187,105 @@ FROM numbered n JOIN shares s ON n.source IS NOT DISTINCT FROM s.source
 JOIN timetable t ON n.source IS NOT DISTINCT FROM t.source AND t.nth = (r // {mixing.BLOCK}) % s.w"""
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a rule and repaired; one row per conversation, those without rows left included."""
+    given = table(spark, sf_dir, "conversations")
+    broken = turn_repair.damage(given)
+    plans = stored(turn_repair.plan_edits(broken), "edit-plans")
+    digests = turn_repair.repaired(broken, plans, keep_turns=False).where(F.col("repaired_sha256").isNotNull())
+    every = given.select("conv_id").unionByName(plans.drop("letters"), allowMissingColumns=True)
+    every = every.unionByName(digests.select("conv_id", "repaired_sha256"), allowMissingColumns=True)
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.groupBy("conv_id").agg(
+        *(F.coalesce(F.max(n), F.lit(0).cast("long")).alias(n) for n in numbers),
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+#: crc32 bit by bit, and a dynamic program from the last row to the first over (cost, audit) of the four states.
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (
+  SELECT *, xor(list_reduce(
+    list_transform(range(0, length(k) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii(k[i]) END),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM crc, (SELECT unnest([0, 1]) AS copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+firsts AS (SELECT conv_id, role, text, min(i) AS first_i FROM placed GROUP BY ALL),
+numbered AS (
+  SELECT p.*, i > first_i AS seen, rtrim(p.text, E' \t\n\x0B\x0C\r') AS stripped
+  FROM placed AS p JOIN firsts AS f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.role = f.role AND p.text = f.text),
+faults AS MATERIALIZED (
+  SELECT *, CASE WHEN stripped = '' THEN 'b' WHEN seen THEN 'd' WHEN stripped[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    role[1] AS c, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS c_before FROM numbered),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (i > 1 AND c_before || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faults GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, n AS i, {'c': 0::BIGINT, 'a': ''} AS f0, {'c': 6::BIGINT, 'a': 'II'} AS fs, {'c': 3::BIGINT, 'a': 'I'} AS fu, {'c': 0::BIGINT, 'a': ''} AS fa FROM counts
+  UNION ALL
+  SELECT conv_id, i,
+    list_sort([g0, {'c': 3 + gu.c, 'a': 'I' || gu.a}, {'c': 6 + ga.c, 'a': 'II' || ga.a}])[1],
+    list_sort([gs, {'c': 3 + gu.c, 'a': 'I' || gu.a}, {'c': 6 + ga.c, 'a': 'II' || ga.a}])[1],
+    list_sort([gu, {'c': 3 + ga.c, 'a': 'I' || ga.a}])[1],
+    list_sort([ga, {'c': 3 + gu.c, 'a': 'I' || gu.a}])[1]
+  FROM (
+    SELECT s.conv_id, s.i - 1 AS i,
+      list_sort(list_filter([d0, CASE WHEN keep AND c = 's' THEN {'c': x + fs.c, 'a': 'K' || fs.a} WHEN keep AND c = 'u' THEN ku END, ru], lambda o: o IS NOT NULL))[1] AS g0,
+      list_sort(list_filter([ds, CASE WHEN keep AND c = 'u' THEN ku END, ru], lambda o: o IS NOT NULL))[1] AS gs,
+      list_sort(list_filter([du, CASE WHEN keep AND c = 'a' THEN {'c': x + fa.c, 'a': 'K' || fa.a} END,
+        CASE WHEN keep THEN {'c': x + 3 + fa.c, 'a': 'R' || fa.a} END], lambda o: o IS NOT NULL))[1] AS gu,
+      list_sort(list_filter([da, CASE WHEN keep AND c = 'u' THEN ku END, ru], lambda o: o IS NOT NULL))[1] AS ga
+    FROM (
+      SELECT t.*, f.c, fault NOT IN ('b', 'd') AS keep, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS x,
+        {'c': 4 + f0.c, 'a': 'D' || f0.a} AS d0, {'c': 4 + fs.c, 'a': 'D' || fs.a} AS ds,
+        {'c': 4 + fu.c, 'a': 'D' || fu.a} AS du, {'c': 4 + fa.c, 'a': 'D' || fa.a} AS da,
+        {'c': CASE WHEN fault = 't' THEN 3 ELSE 0 END + fu.c, 'a': 'K' || fu.a} AS ku,
+        CASE WHEN fault NOT IN ('b', 'd') THEN {'c': CASE WHEN fault = 't' THEN 6 ELSE 3 END + fu.c, 'a': 'R' || fu.a} END AS ru
+      FROM steps AS t JOIN faults AS f ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = t.i) AS s)),
+plans AS (SELECT conv_id, f0.c AS cost, f0.a AS audit FROM steps WHERE i = 0),
+edits AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM plans),
+numbered_edits AS (
+  SELECT conv_id, p, audit[p] AS e, length(replace(audit[1:p], 'I', '')) AS i,
+    length(replace(audit[1:p], 'D', '')) AS m FROM edits),
+turns AS (
+  SELECT x.conv_id, p, e, m, role, CASE WHEN e = 'I' THEN '' ELSE text END AS text, c FROM numbered_edits AS x
+  LEFT JOIN faults AS f ON x.conv_id IS NOT DISTINCT FROM f.conv_id AND x.i = f.i AND e <> 'I' WHERE e <> 'D'),
+leads AS (SELECT *, max(CASE WHEN m = 1 AND e = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS lead FROM turns),
+digests AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (m - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS h
+  FROM leads GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o
+LEFT JOIN counts AS a ON o.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN plans AS b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN digests AS d ON o.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_alignment.align(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups="sha256", keep_text=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = chunked_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True, keep_text=False)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), sha256_hex(ids).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
 #: name -> (query, SQL or None)
 QUERIES = {
     "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, OP1_SQL),
@@ -196,4 +298,7 @@ QUERIES = {
     "op8_cross_entropy_difference": (op8_cross_entropy_difference, None),
     "op9_source_mixing": (op9_source_mixing, OP9_SQL),
     "op10_language_id": (op10_language_id, None),
+    "op11_conversation_repair": (op11_conversation_repair, OP11_SQL),
+    "op12_token_alignment": (op12_token_alignment, None),
+    "op13_chunked_bpe": (op13_chunked_bpe, None),
 }
