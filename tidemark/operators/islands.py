@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import floor_div
-from tidemark.operators.slicing import TIME_SLICE_SECONDS, running, time_slice
+from tidemark.operators.ordered import merged_islands, merged_runs, next_within, positions
 from tidemark.sources.heart_rate import DEFAULT_INTERVAL_SECONDS, GAP_CAP_SECONDS, interval_end
 from tidemark.specs import SUBJECT
 
 
-def _new_island(gap_seconds: int):
-    """True where a row starts an island.
+#: Width of the slices under which episodes are listed for points to be looked up.
+TIME_SLICE_SECONDS = 6 * 3600
 
-    The gap counts whole seconds, so a row joins while the difference stays
-    below ``gap_seconds + 1`` seconds.
-    """
-    gap = F.col("_s") - F.col("_reach")
-    return F.col("_reach").isNull() | (gap >= (gap_seconds + 1) * 1_000_000)
+
+def _tolerance(gap_seconds: int) -> int:
+    """The gap counts whole seconds, so a row joins while the difference stays below one second more."""
+    if gap_seconds < 0:
+        raise ValueError("gap_seconds must be >= 0")
+    return (gap_seconds + 1) * 1_000_000
 
 
 def _micros(df: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
@@ -43,24 +44,11 @@ def detect_episodes(
     *largest* end seen so far, so overlapping rows never shrink an episode.
     Rows with no end are not intervals and are left out.
     """
-    if gap_seconds < 0:
-        raise ValueError("gap_seconds must be >= 0")
-    rows = _micros(intervals, keys)
-    # only the largest end per start can matter
-    rows = rows.groupBy(*keys, time_slice(F.col("_s")).alias("_slice"), "_s").agg(F.max("_e").alias("_e"))
-    rows = running(rows, keys, "_s", F.col("_e"), "_reach", slice_col="_slice")
-    rows = running(
-        rows, keys, "_s", F.when(_new_island(gap_seconds), F.col("_s")), "_island",
-        inclusive=True, slice_col="_slice",
-    )
-    return (
-        rows.groupBy(*keys, "_island")
-        .agg(F.max("_e").alias("_end"))
-        .select(
-            *keys,
-            F.timestamp_micros("_island").alias("episode_start"),
-            F.timestamp_micros("_end").alias("episode_end"),
-        )
+    merged = merged_islands(_micros(intervals, keys), keys, _tolerance(gap_seconds))
+    return merged.select(
+        *keys,
+        F.timestamp_micros("_island").alias("episode_start"),
+        F.timestamp_micros("_end").alias("episode_end"),
     )
 
 
@@ -76,28 +64,13 @@ def runs(
     row in start order, not the largest end. Equal starts are ordered by
     ``ties``; within such a tie only the last end is visible to the next row.
     """
-    if gap_seconds < 0:
-        raise ValueError("gap_seconds must be >= 0")
     ties = [t for t in ties if t in intervals.columns]
-    rows = _micros(intervals, keys, *ties)
-    rows = rows.groupBy(*keys, time_slice(F.col("_s")).alias("_slice"), "_s").agg(
-        F.max_by("_e", F.struct(*ties, "_e")).alias("_e")
-    )
-    rows = running(rows, keys, "_s", F.struct("_s", "_e"), "_last", slice_col="_slice")
-    rows = rows.withColumn("_reach", F.col("_last._e"))
-    rows = running(
-        rows, keys, "_s", F.when(_new_island(gap_seconds), F.col("_s")), "_island",
-        inclusive=True, slice_col="_slice",
-    )
-    return (
-        rows.groupBy(*keys, "_island")
-        .agg(F.max_by("_e", "_s").alias("_end"))
-        .select(
-            *keys,
-            F.timestamp_micros("_island").alias("run_start"),
-            F.timestamp_micros("_end").alias("run_end"),
-            ((F.col("_end") - F.col("_island")) / 60_000_000.0).alias("minutes"),
-        )
+    merged = merged_runs(_micros(intervals, keys, *ties), keys, ties, _tolerance(gap_seconds))
+    return merged.select(
+        *keys,
+        F.timestamp_micros("_island").alias("run_start"),
+        F.timestamp_micros("_end").alias("run_end"),
+        ((F.col("_end") - F.col("_island")) / 60_000_000.0).alias("minutes"),
     )
 
 
@@ -135,9 +108,7 @@ def number_rows(df: DataFrame, order: str, out: str, keys: Sequence[str] = SUBJE
 
     ``order`` is a long column of microseconds without ties.
     """
-    df = df.withColumn("_slice", time_slice(F.col(order)))
-    numbered = running(df, keys, order, F.lit(1).cast("bigint"), out, fold=F.sum, slice_col="_slice")
-    return numbered.withColumn(out, F.coalesce(out, F.lit(0).cast("bigint"))).drop("_slice")
+    return positions(df, keys, order, out)
 
 
 def next_sample_intervals(
@@ -154,12 +125,7 @@ def next_sample_intervals(
     counts whole seconds up to ``cap_seconds``; beyond it, and for the last
     sample, the interval has the default length.
     """
-    # the next start is the latest "earlier" one on the reversed axis
-    rows = samples.withColumns({
-        "_s": -F.unix_micros("effective_start"), "_o": -F.col(order),
-    })
-    rows = rows.withColumn("_slice", time_slice(F.col("_s")))
-    rows = running(rows, keys, ["_s", "_o"], F.col("_s"), "_next", slice_col="_slice")
-    following = F.timestamp_micros(-F.col("_next"))
-    end = interval_end(F.col("effective_start"), following, cap_seconds, default_seconds)
-    return rows.withColumn("effective_end", end).drop("_s", "_o", "_next", "_slice")
+    cap = _tolerance(cap_seconds)
+    rows = next_within(samples, keys, [F.col(order)], F.unix_micros("effective_start"), cap, "_next")
+    end = interval_end(F.col("effective_start"), F.timestamp_micros("_next"), cap_seconds, default_seconds)
+    return rows.withColumn("effective_end", end).drop("_next")
