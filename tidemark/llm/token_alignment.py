@@ -8,29 +8,30 @@ together, until an interval has no shared cut inside: it is one group.
 Documents are worked on in pages of about ``PAGE_BYTES`` of text. A page keeps its distinct pairs
 of linked ids, how often each occurs, and its links as places in that list. Only distinct pairs of
 pages are counted over the corpus and joined back, so a pair that occurs everywhere costs a row a
-page; the counts of a page then meet its links in one row.
+page; the counts of a page are then gathered in one row, which meets its documents' links.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.shared import fresh, kept_fields, stored
-from tidemark.llm.token_counts import _byte_letters
+from tidemark.llm.token_counts import SPLIT, _byte_letters
 
 #: Text of a page, which bounds what a task holds beside its longest text.
-PAGE_BYTES = 4_000_000
+PAGE_BYTES = 1_000_000
 #: Steps from the middle that are tried for all intervals at once before the whole interval is.
 NEAR = 4
 
@@ -53,11 +54,11 @@ def shared_cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
         middle = (low + high) // 2
         cut = np.full(len(low), -1)
-        for step in range(NEAR):
-            for at in (middle + step, middle - step):
-                open_ = np.flatnonzero((cut < 0) & (at >= low) & (at < high))
-                hit = open_[shared(at[open_])]
-                cut[hit] = at[hit]
+        for step in sorted(range(1 - NEAR, NEAR), key=abs):
+            at = middle + step
+            open_ = np.flatnonzero((cut < 0) & (at >= low) & (at < high))
+            hit = open_[shared(at[open_])]
+            cut[hit] = at[hit]
         # intervals without one near the middle: the nearest of all their ends
         far = np.flatnonzero((cut < 0) & (high - low > NEAR))
         if len(far):
@@ -79,38 +80,47 @@ def shared_cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tokenizers:
-    """Both tokenizers, and the bytes of their tokens."""
+    """Both tokenizers, and the bytes of their tokens.
+
+    The byte-level vocabulary's ids are the ranks of its merges, which is checked; so the ranks are
+    all that an encoder needs, and special tokens' strings are plain text to it.
+    """
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = tokenizers.Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         letters = _byte_letters()
-        n_a = self.a.get_vocab_size(with_added_tokens=True)
-        tokens = (self.a.id_to_token(k) or "" for k in range(n_a))
-        self.bytes_a = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in tokens]
+        ranks = {bytes(letters[c] for c in t): k for t, k in model["vocab"].items() if all(c in letters for c in t)}
+        merges = ("".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"])
+        made = [model["vocab"][m] for m in merges]
+        if made != sorted(made) or len(made) + 256 != len(ranks):
+            raise ValueError("ids of the byte-level vocabulary have to follow its merges")
+        self.a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, k in ranks.items():
+            self.bytes_a[k] = token
         self.bytes_b = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode()
             for k, piece in ((k, self.b.id_to_piece(k)) for k in range(self.b.get_piece_size()))
         ]
         self.size_a, self.size_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         #: Ids as text with what may stand before them, first those of ``a``, then those of ``b``.
-        self.spelled = [sep + str(k) for sep in ("", ",", ";") for k in range(n_a)]
+        self.spelled = [sep + str(k) for sep in ("", ",", ";") for k in range(len(self.bytes_a))]
         self.spelled += [sep + str(k) for sep in (",", "|") for k in range(len(self.bytes_b))]
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both encodings; none where the bytes of either are not those of the text behind a space."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        ids_b = self.b.encode(texts, num_threads=1)
-        out = []
-        for text, a, b in zip(texts, ids_a, ids_b, strict=True):
+        none = np.zeros(0, np.int64)
+        bytes_b, out = self.bytes_b, []
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
             raw = b" " + text.encode()
-            same = text and b"".join([self.bytes_a[k] for k in a]) == raw == b"".join([self.bytes_b[k] for k in b])
-            out.append((a, b) if same else ([], []))
+            a = self.a.encode_to_numpy(" " + text, disallowed_special=())
+            same = text and b"".join([bytes_b[k] for k in b]) == raw and self.a.decode_bytes(a.tolist()) == raw
+            out.append((a, np.array(b, np.int64)) if same else (none, none))
         return out
 
 
@@ -123,8 +133,7 @@ def align_page(texts: list[str], tok: Tokenizers) -> dict:
     """Groups and links of all texts of a page. Texts are laid end to end: where one ends is a shared cut."""
     pairs = tok.encode(texts)
     n_a, n_b = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
-    ids_a = np.fromiter((k for p in pairs for k in p[0]), np.int64, n_a.sum())
-    ids_b = np.fromiter((k for p in pairs for k in p[1]), np.int64, n_b.sum())
+    ids_a, ids_b = (np.concatenate([p[k] for p in pairs] or [np.zeros(0)]).astype(np.int64) for k in (0, 1))
     ends_a, ends_b = np.cumsum(tok.size_a[ids_a]), np.cumsum(tok.size_b[ids_b])
     cuts_a = shared_cuts(ends_a, ends_b)
     cuts_b = np.searchsorted(ends_b, ends_a[cuts_a])
@@ -132,15 +141,23 @@ def align_page(texts: list[str], tok: Tokenizers) -> dict:
     n_groups = np.diff(np.searchsorted(cuts_a, from_a), prepend=0)
 
     # every stretch between two ends of any kind is the overlap of one pair
-    stretches = np.union1d(ends_a, ends_b)
-    code = ids_a[np.searchsorted(ends_a, stretches)] * len(tok.bytes_b) + ids_b[np.searchsorted(ends_b, stretches)]
+    n_bytes = int(ends_a[-1]) + 1 if len(ends_a) else 0
+    is_a, is_b = (np.bincount(ends, minlength=n_bytes) for ends in (ends_a, ends_b))
+    stretches = np.flatnonzero(is_a | is_b)
+    code = (ids_a[(np.cumsum(is_a) - is_a)[stretches]] * len(tok.bytes_b) + ids_b[(np.cumsum(is_b) - is_b)[stretches]])
     n_links = n_a + n_b - n_groups
-    codes, links, times = np.unique(code, return_inverse=True, return_counts=True)
+    met, codes = pd.factorize(code)
+    ascending = np.argsort(codes)
+    place = np.empty(len(codes), np.int64)
+    place[ascending] = np.arange(len(codes))
+    codes, links = codes[ascending], place[met]
+    times = np.bincount(links, minlength=len(codes))
 
     # groups as text: the tokens of both kinds in the order of groups, each with what stands before it
-    group_a, group_b = np.searchsorted(cuts_a, np.arange(len(ids_a))), np.searchsorted(cuts_b, np.arange(len(ids_b)))
-    first_a, first_b = np.diff(group_a, prepend=-1) > 0, np.diff(group_b, prepend=-1) > 0
-    before_b = np.concatenate([[0], cuts_b + 1])  # tokens of b before each group
+    before_a, before_b = (np.concatenate([[0], cuts + 1])[:-1] for cuts in (cuts_a, cuts_b))  # tokens before each group
+    first_a, first_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool)
+    first_a[before_a], first_b[before_b] = True, True
+    group_a, group_b = np.cumsum(first_a) - 1, np.cumsum(first_b) - 1
     separator = np.where(first_a, 2, 1)
     separator[(from_a - n_a)[n_a > 0]] = 0
     size_a, size_b = len(tok.bytes_a), len(tok.bytes_b)
@@ -186,15 +203,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, groups: str = "text", keep_
     if groups not in ("text", "sha256"):
         raise ValueError("groups must be 'text' or 'sha256'")
     kept = kept_fields(docs, keep_text)
-    numbers = fresh(docs, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "_links")
+    numbers = fresh(docs, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
     long, text = T.LongType(), T.StringType()
-    of_document = T.StructType(
+    schema = T.StructType(
         [T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)]
         + [T.StructField(n, long) for n in ("n_a", "n_b", "n_groups", "n_links")]
-        + [T.StructField("groups", text), T.StructField("links", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([
-        T.StructField("page", long), T.StructField("documents", T.ArrayType(of_document)),
-        T.StructField("codes", T.ArrayType(long)), T.StructField("times", T.ArrayType(long))])
+        + [T.StructField("groups", text), T.StructField("links", T.ArrayType(T.IntegerType())), T.StructField("page", long)]
+        + [T.StructField(n, T.ArrayType(long)) for n in ("codes", "times")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = loaded(path_a, path_b)
@@ -202,56 +217,51 @@ def align(docs: DataFrame, path_a: str, path_b: str, groups: str = "text", keep_
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for begin, end in _pages(texts):
-                found = align_page(texts[begin:end], tok)
+                found, n = align_page(texts[begin:end], tok), end - begin
                 spelled = found["groups"] if groups == "text" else [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found["groups"]]
-                offsets = np.fromiter(accumulate(found["n_links"].tolist(), initial=0), np.int32, end - begin + 1)
-                columns = [
-                    *(batch.column(f.name).slice(begin, end - begin) for f in kept),
-                    *(pa.array(found[n], pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")),
-                    pa.array(spelled, pa.string()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(found["links"].astype(np.int32)))]
-                rows = pa.StructArray.from_arrays(columns, names=of_document.names)
+                offsets = np.fromiter(accumulate(found["n_links"].tolist(), initial=0), np.int32, n + 1)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([page], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), rows),
-                    *(pa.ListArray.from_arrays(pa.array([0, len(found[n])], pa.int32()), pa.array(found[n], pa.int64())) for n in ("codes", "times"))],
+                    *(batch.column(f.name).slice(begin, n) for f in kept),
+                    *(pa.array(found[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")),
+                    pa.array(spelled, pa.string()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(found["links"].astype(np.int32))),
+                    pa.array(np.full(n, page)),
+                    *(_on_first(found[c], n) for c in ("codes", "times"))],
                     names=schema.names)
                 page += 1
 
-    pages = stored(docs.mapInArrow(run, schema), "aligned-pages")
-    return _with_counts(pages, _size_b(path_b)).select(F.inline("documents")).select(
+    rows = stored(docs.mapInArrow(run, schema), "aligned")
+    priced = _with_prices(rows, _size_b(path_b))
+    return priced.select(
         *(F.col(f"k{i}").alias(f.name) for i, f in enumerate(kept)),
         *(F.col(n).alias(new) for n, new in zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"), numbers)))
 
 
+def _on_first(values: np.ndarray, n: int) -> pa.Array:
+    """A list column whose first row has all values; the other rows are empty."""
+    return pa.ListArray.from_arrays(pa.array([0] + n * [len(values)], pa.int32()), pa.array(values, pa.int64()))
+
+
 def _size_b(path_b: str) -> int:
     import sentencepiece
 
     return sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
 
 
-def _with_counts(pages: DataFrame, size_b: int) -> DataFrame:
-    """Pages whose documents have ``n_best`` and ``count_sum`` instead of links.
+def _with_prices(rows: DataFrame, size_b: int) -> DataFrame:
+    """Documents with ``n_best`` and ``count_sum``, by the counts that their page's pairs have in the corpus.
 
     The highest count of each second id is one row an id of that vocabulary, whose size bounds what is broadcast.
     """
-    listed = pages.select("page", F.inline(F.arrays_zip("codes", "times"))).withColumnsRenamed({"codes": "code", "times": "n"})
+    listed = rows.where(F.size("codes") > 0).select("page", F.inline(F.arrays_zip("codes", "times"))).withColumnsRenamed({"codes": "code", "times": "n"})
     counts = listed.groupBy("code").agg(F.sum("n").alias("total"))
     counts = stored(counts.withColumn("b", (F.col("code") % size_b).cast("int")), "pair-counts")
     highest = counts.groupBy("b").agg(F.max("total").alias("highest"))
     priced = counts.join(F.broadcast(highest), "b").select("code", "total", (F.col("total") == F.col("highest")).alias("best"))
     of_page = (
         listed.select("page", "code").join(priced, "code")
-        .groupBy("page").agg(F.sort_array(F.collect_list(F.struct("code", "total", "best"))).alias("prices")))
-    joined = pages.select("page", "documents").join(of_page, "page", "left")
-
-    totals, best = F.col("prices.total"), F.col("prices.best")
-
-    def scored(d: Column) -> Column:
-        links = d["links"]
-        return F.struct(
-            *(d[n].alias(n) for n in pages.schema["documents"].dataType.elementType.names if n != "links"),
-            F.size(F.filter(links, lambda k: F.get(F.col("_best"), k))).cast("long").alias("n_best"),
-            F.aggregate(links, F.lit(0).cast("long"), lambda s, k: s + F.get(F.col("_totals"), k)).alias("count_sum"))
-
-    return joined.select("documents", totals.alias("_totals"), best.alias("_best")).select(F.transform("documents", scored).alias("documents"))
+        .groupBy("page").agg(F.sort_array(F.collect_list(F.struct("code", "total", "best"))).alias("prices"))
+        .select("page", F.col("prices.total").alias("totals"), F.col("prices.best").alias("best")))
+    return rows.drop("codes", "times").join(of_page, "page", "left").withColumns({
+        "n_best": F.size(F.filter("links", lambda k: F.get(F.col("best"), k))).cast("long"),
+        "count_sum": F.aggregate("links", F.lit(0).cast("long"), lambda s, k: s + F.get(F.col("totals"), k))})
