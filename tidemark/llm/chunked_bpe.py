@@ -21,7 +21,6 @@ import functools
 import json
 import unicodedata
 from array import array
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,6 +47,8 @@ SHARED = 8_192
 
 #: The split pattern of this vocabulary (fixed value), with white space as Unicode has it.
 PIECE = rf"""'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"""
+#: No id.
+NONE = 0xFFFF
 #: The longest alternative of fixed length in it: how far a piece's first letter looks ahead.
 LOOK = 3
 
@@ -98,14 +99,13 @@ def chunks(data: bytes, shortest: int = SHORTEST, longest: int = LONGEST, bits:
 
 @dataclass(slots=True)
 class Encoded:
-    """A chunk by itself: its ids, where its pieces begin, the tokens before each piece, and
-    the number of pieces that no following text can change."""
+    """A chunk by itself: its ids, and the part of it that no following text can change, as a
+    number of ids (``settled``) and the place where the first other piece begins (``tail``)."""
 
     text: str
     ids: array
-    starts: array
-    before: array
     settled: int
+    tail: int
 
 
 class ChunkEncoder:
@@ -116,77 +116,79 @@ class ChunkEncoder:
             spec = json.load(file)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.vocab = model["vocab"]
-        self.ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): k for k, m in enumerate(model["merges"])}
-        self.letters = {b: c for c, b in _byte_letters().items()}
+        vocab = model["vocab"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        #: What two ids merge to. Ids made by merges ascend with rank (checked), so the least id is the first merge.
+        self.merge = {vocab[x] << 16 | vocab[y]: vocab[x + y] for x, y in reversed(merges)}
+        made = [vocab[x + y] for x, y in merges]
+        if any(m >= n for m, n in zip(made, made[1:])) or max(vocab.values()) >= NONE:
+            raise ValueError("ids of the vocabulary have to follow its merges")
+        letters = {b: c for c, b in _byte_letters().items()}
+        self.inner, self.final = ([vocab[letters[b] + end] for b in range(256)] for end in ("", self.suffix))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.find_special = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
-        every = self.vocab | self.special
+        every = vocab | self.special
         self.token = [""] * (max(every.values()) + 1)
         for text, k in every.items():
             self.token[k] = text
         self.piece = regex.compile(PIECE)
         self.sizes = (shortest, longest, bits)
-        self.words: dict[str, array] = {}
+        self.words: dict[str, bytes] = {}
         self.kept: dict[bytes, Encoded] = {}
         self.table: dict[bytes, Encoded] = {}
 
-    def word(self, piece: str) -> array:
-        """Ids of one piece: merges, lowest rank first, leftmost among equals."""
+    def word(self, piece: str) -> bytes:
+        """Ids of one piece, two bytes each."""
         found = self.words.get(piece)
         if found is None:
-            parts = [self.letters[b] for b in piece.encode()]
-            parts[-1] += self.suffix
-            parts = self.merged(parts) if len(parts) <= 64 else self.merged_long(parts)
-            found = array("H", [self.vocab[p] for p in parts])
+            data = piece.encode()
+            ids = [self.inner[b] for b in data]
+            ids[-1] = self.final[data[-1]]
+            found = array("H", self.merged(ids) if len(ids) <= 64 else self.merged_long(ids)).tobytes()
             if len(piece) <= 64:
                 if len(self.words) >= WORDS:
                     self.words.clear()
                 self.words[piece] = found
         return found
 
-    def merged(self, parts: list[str]) -> list[str]:
+    def merged(self, ids: list[int]) -> list[int]:
         """Merges, lowest rank first, leftmost among equals."""
-        rank, none = self.ranks.get, len(self.ranks)
-        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
+        merge = self.merge.get
+        made = [merge(a << 16 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while made:
+            best = min(made)
+            if best == NONE:
                 break
-            k = ranks.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del ranks[k]
+            k = made.index(best)
+            ids[k] = best
+            del ids[k + 1], made[k]
             if k:
-                ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
-            if k < len(ranks):
-                ranks[k] = rank((parts[k], parts[k + 1]), none)
-        return parts
+                made[k - 1] = merge(ids[k - 1] << 16 | best, NONE)
+            if k < len(made):
+                made[k] = merge(best << 16 | ids[k + 1], NONE)
+        return ids
 
-    def merged_long(self, parts: list[str]) -> list[str]:
+    def merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, for pieces of any length."""
-        n, rank = len(parts), self.ranks.get
+        n, merge = len(ids), self.merge.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank((a, b))) is not None]
+        heap = [(made, k) for k, (a, b) in enumerate(zip(ids, ids[1:])) if (made := merge(a << 16 | b)) is not None]
         heapify(heap)
         while heap:
-            _, k, a, b = heappop(heap)
+            made, k = heappop(heap)
             right = after[k]
-            if parts[k] != a or right == n or parts[right] != b:
+            if ids[k] == NONE or right == n or merge(ids[k] << 16 | ids[right]) != made:
                 continue  # one of the two has been merged since
-            parts[k], parts[right] = a + b, ""
-            after[k] = after[right]
+            ids[k], ids[right], after[k] = made, NONE, after[right]
             if after[k] < n:
                 before[after[k]] = k
-                self._offer(heap, k, a + b, parts[after[k]])
-            if before[k] >= 0:
-                self._offer(heap, before[k], parts[before[k]], a + b)
-        return [p for p in parts if p]
-
-    def _offer(self, heap: list, k: int, a: str, b: str) -> None:
-        r = self.ranks.get((a, b))
-        if r is not None:
-            heappush(heap, (r, k, a, b))
+            for left in (before[k], k):
+                if left >= 0 and after[left] < n:
+                    again = merge(ids[left] << 16 | ids[after[left]])
+                    if again is not None:
+                        heappush(heap, (again, left))
+        return [k for k in ids if k != NONE]
 
     def chunk(self, data: bytes) -> Encoded:
         found = self.table.get(data) or self.kept.get(data)
@@ -200,13 +202,18 @@ class ChunkEncoder:
 
     def encode_chunk(self, data: bytes) -> Encoded:
         text = data.decode()
-        spans = [m.span() for m in self.piece.finditer(text)]
-        ids = [self.word(text[a:b]) for a, b in spans]
-        settled = next((k for k, (a, b) in enumerate(spans) if b == len(text) or a + LOOK > len(text)), len(spans))
-        joined = array("H")
-        for part in ids:
-            joined.extend(part)
-        return Encoded(text, joined, array("H", [a for a, _ in spans]), array("H", accumulate(map(len, ids), initial=0)), settled)
+        pieces = self.piece.findall(text)
+        found = list(map(self.words.get, pieces))
+        if None in found:
+            found = [ids or self.word(piece) for ids, piece in zip(found, pieces)]
+        ids = array("H", b"".join(found))
+        settled, tail, last = len(ids), len(text), len(text)
+        for piece, of_piece in zip(reversed(pieces), reversed(found)):
+            begin = text.rfind(piece, 0, last)  # between pieces there is only white space
+            if begin + LOOK <= len(text) and begin + len(piece) < len(text):
+                break
+            settled, tail, last = settled - len(of_piece) // 2, begin, begin
+        return Encoded(text, ids, settled, tail)
 
     def normalised(self, text: str) -> str:
         if not text.isascii():
@@ -239,46 +246,46 @@ class ChunkEncoder:
 
     def _joined(self, parts: list[Encoded], out: array) -> None:
         """Append the ids of all chunks, their joins repaired."""
-        left, first = parts[0], 0  # pieces of ``left`` from ``first`` on stand
-        open_text, wait = None, 0  # text that is to be encoded again, or None; chunks to add before the next try
-        step = 1
+        left, first = parts[0], 0  # ids of ``left`` from ``first`` on stand
+        open_text, wait, step = None, 0, 1  # text that is to be encoded again, or None; chunks to add before the next try
         for number, right in enumerate(parts[1:], 2):
             if open_text is None:
-                keep = max(first, left.settled)
-                out.extend(left.ids[left.before[first] : left.before[keep]])
-                open_text = [left.text[left.starts[keep] :] if keep < len(left.starts) else ""]
-                step = 1
+                out.extend(left.ids[first : left.settled])
+                open_text, wait, step = [left.text[left.tail :]], 0, 1
             last = number == len(parts)
             wait -= 1
             if wait > 0 and not last:
                 open_text.append(right.text)
                 continue
             before = "".join(open_text)
-            again, k = self._agreed(before, right, last)
-            if k is None:  # twice as much text next time, so that a long text is not scanned too often
+            again, skipped = self._agreed(before, right, last)
+            if skipped is None:  # twice as much text next time, so that a long text is not scanned too often
                 open_text = [before, right.text]
                 wait, step = step, 2 * step
             else:
-                for piece in again:
-                    out.extend(self.word(piece))
-                left, first, open_text = right, k, None
+                out.frombytes(b"".join(map(self.word, again)))
+                left, first, open_text = right, skipped, None
         if open_text is not None:
-            for m in self.piece.finditer("".join(open_text)):
-                out.extend(self.word(m[0]))
+            out.frombytes(b"".join(map(self.word, self.piece.findall("".join(open_text)))))
         else:
-            out.extend(left.ids[left.before[first] :])
+            out.extend(left.ids[first:])
 
     def _agreed(self, before: str, right: Encoded, last: bool) -> tuple[list[str], int | None]:
-        """The pieces of ``before`` and ``right`` up to the first piece that begins where piece k of ``right`` does, and k."""
+        """The pieces of ``before`` and ``right`` up to the first one that begins where a piece of
+        ``right`` does, and the ids of ``right`` before that; None if there is none in time."""
         window, offset, pieces = before + right.text, len(before), []
+        own, skipped = self.piece.finditer(right.text), 0
+        mine = next(own, None)
         for m in self.piece.finditer(window):
             at = m.start() - offset
             if at >= 0:
                 if not last and m.start() + LOOK > len(window):
                     break
-                k = bisect_left(right.starts, at)
-                if k < len(right.starts) and right.starts[k] == at:
-                    return (pieces, k) if k <= right.settled else ([], None)
+                while mine is not None and mine.start() < at:
+                    skipped += len(self.word(mine[0])) // 2
+                    mine = next(own, None)
+                if mine is not None and mine.start() == at:
+                    return (pieces, skipped) if at <= right.tail else ([], None)
             pieces.append(m[0])
         return [], None
 
@@ -334,13 +341,12 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
         for batch in batches:
             done = [encode(c) for c in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([getattr(e, f).tobytes() for e in done], pa.binary()) for f in ("ids", "starts", "before")),
-                 pa.array([e.settled for e in done], pa.int32())],
-                names=["chunk", "ids", "starts", "before", "settled"])
+                [batch.column(0), pa.array([e.ids.tobytes() for e in done], pa.binary()), *(pa.array([getattr(e, f) for e in done], pa.int32()) for f in ("settled", "tail"))],
+                names=["chunk", "ids", "settled", "tail"])
 
     once = texts.mapInArrow(chosen, "digest long, chunk binary").groupBy("digest").agg(F.min("chunk").alias("chunk")).select("chunk")
-    rows = once.mapInArrow(encoded, "chunk binary, ids binary, starts binary, before binary, settled int").collect()
-    return {bytes(r.chunk): (bytes(r.ids), bytes(r.starts), bytes(r.before), r.settled) for r in rows}
+    rows = once.mapInArrow(encoded, "chunk binary, ids binary, settled int, tail int").collect()
+    return {bytes(r.chunk): (bytes(r.ids), r.settled, r.tail) for r in rows}
 
 
 def encode(docs: DataFrame, path: str, decoded: bool = False, keep_text: bool = True, reuse: bool = True) -> DataFrame:
@@ -362,8 +368,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False, keep_text: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path)
         codec.table = {
-            chunk: Encoded(chunk.decode(), array("H", ids), array("H", starts), array("H", before), settled)
-            for chunk, (ids, starts, before, settled) in table.value.items()
+            chunk: Encoded(chunk.decode(), array("H", ids), settled, tail) for chunk, (ids, settled, tail) in table.value.items()
         }
         for batch in batches:
             found = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
