@@ -376,7 +376,8 @@ def encode(docs: DataFrame, path: str, decoded: bool = False, keep_text: bool =
             flat = np.concatenate([np.frombuffer(f, np.uint16) for f in found if f] or [np.zeros(0, np.uint16)])
             columns = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat.astype(np.int32)))]
             if decoded:
-                columns.append(pa.array([codec.decode(f) for f in found], pa.string()))
+                token = codec.token.__getitem__
+                columns.append(pa.array([" ".join(map(token, f)) for f in found], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], names=schema.names)
 
     return docs.mapInArrow(run, schema)
