@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import ts
 from tidemark import schemas
@@ -259,3 +260,45 @@ def test_verify_claims(spark):
     frame = spark.createDataFrame([("d", *d) for d in dates], "archive_key string, document_date string, document_date_quote string")
     got = {(r.document_date, r.document_date_quote): r.verified for r in verify_dates(frame, t).collect()}
     assert [got[d] for d in dates] == [True, False, True, False, False, False, False]
+
+
+def two_subjects(spark):
+    """Both share a text; the second has more texts, which makes the terms rarer for it."""
+    rows = [("s1", "d1", None, "colon biopsy of the colon"), ("s1", "d2", None, "a walk"), ("s2", "d1", None, "colon biopsy of the colon")]
+    rows += [("s2", f"e{k}", None, f"another note number {k}") for k in range(5)]
+    return spark.createDataFrame(rows, "subject_id string, archive_key string, title string, text string")
+
+
+def test_search_of_two_subjects_equals_each_alone(spark):
+    both = two_subjects(spark)
+    query = Query(all_terms=["colon"], any_terms=["note", "biopsy"])
+    for index in (False, True):
+        def found(df):
+            rows = search(df, query, postings=build_postings(df) if index else None, limit=1).collect()
+            return sorted((r.subject_id, r.archive_key, round(r.score, 9), r.snippet) for r in rows)
+
+        assert found(both) == sorted(found(both.where("subject_id = 's1'")) + found(both.where("subject_id = 's2'")))
+        assert len(found(both)) == 2
+
+
+def test_catalog_detail_and_claims_of_two_subjects(spark):
+    both = two_subjects(spark)
+    d = both.select(
+        "subject_id", "archive_key", F.col("subject_id").alias("kind"), F.lit("x").alias("source"), F.lit(None).cast("date").alias("document_date"),
+        F.lit("2024-01-01").cast("timestamp").alias("archived_at"), F.lit("f").alias("original_filename"))
+    newest = catalog(both, d, limit=2).collect()
+    assert [(r.subject_id, r.archive_key, r.kind) for r in newest] == [("s1", "d2", "s1"), ("s1", "d1", "s1"), ("s2", "e4", "s2"), ("s2", "e3", "s2")]
+    problems = spark.createDataFrame(
+        [("s1", "d1", 0, "sys", "c1", "one", None, None), ("s2", "d1", 0, "sys", "c2", "two", None, None)],
+        "subject_id string, archive_key string, seq long, coding_system string, coding_code string, coding_display string, onset_date date, section_label string")
+    detail = {r.subject_id: (r.kind, [c.coding_code for c in r.codings]) for r in narrative(both, d, problems, "d1").collect()}
+    assert detail == {"s1": ("s1", ["c1"]), "s2": ("s2", ["c2"])}
+    claims = spark.createDataFrame([("s1", "d1", "colon", "of the colon"), ("s1", "e1", "note", "another note")],
+                                   "subject_id string, archive_key string, code string, quote string")
+    assert sorted((r.archive_key, r.verified) for r in verify_claims(claims, both).collect()) == [("d1", True), ("e1", False)]
+
+
+def test_notifications_of_each_subject(spark):
+    log = spark.createDataFrame([("s1", "c", k) for k in range(4)] + [("s2", "c", k) for k in range(4)], "subject_id string, condition_id string, fired_at long")
+    assert [(r.subject_id, r.fired_at) for r in notifications(log, 2, ["subject_id"]).collect()] == [("s1", 3), ("s1", 2), ("s2", 3), ("s2", 2)]
+    assert notifications(log, 3).count() == 3

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import best_of
 from tidemark.specs import SUBJECT, instant
 
 # Thresholds, cadence, severities and the state words.
@@ -101,6 +102,7 @@ def state_changes(dispatched: DataFrame, keys: Sequence[str] = SUBJECT) -> DataF
         *keys, "condition_id", "last_fired_at", "last_state")
 
 
-def notifications(log: DataFrame, limit: int = 20) -> DataFrame:
-    """The newest notifications first."""
-    return log.orderBy(F.col("fired_at").desc(), F.col("condition_id").desc()).limit(limit)
+def notifications(log: DataFrame, limit: int = 20, keys: Sequence[str] = ()) -> DataFrame:
+    """The newest notifications first; with ``keys`` the newest ``limit`` of each."""
+    order = [F.col("fired_at").desc(), F.col("condition_id").desc()]
+    return best_of(log, keys, order, limit).orderBy(*keys, *order)

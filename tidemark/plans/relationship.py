@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.buckets import shifted, sort_columns
 from tidemark.operators.islands import number_rows
-from tidemark.operators.ranks import average_rank, exact_percentiles
+from tidemark.operators.lineage import stored
+from tidemark.operators.ranks import Percentiles, aggregate, average_rank
 from tidemark.plans.table import aligned_table
 from tidemark.specs import PAIRING_BUCKETS, SUBJECT, Column, EpisodeSpec, check_bucket
 
@@ -95,6 +96,8 @@ def relationship(
     pairs = lagged_pairs(
         obs, x, y, start=start, end=end, bucket=bucket, tz=tz, lag=lag, episode=episode, keys=keys
     )
+    # pairs are read for each ranking and each percentile; the table they come from is built once
+    pairs = stored(pairs, "pairs")
     ranked = average_rank(pairs, keys, "x", "_rx")
     ranked = average_rank(ranked, keys, "y", "_ry")
 
@@ -118,14 +121,18 @@ def relationship(
                 F.max(value).alias(f"{side}_max"),
             ]
     out = ranked.groupBy(*keys).agg(*aggs)
-    columns = [c for c in out.columns if not c.startswith(tuple(sides))] if sides else out.columns
-    for side, condition in sides.items():
-        half = exact_percentiles(pairs.where(condition), keys, "y", (0.5,), "_half")
-        if keys:
-            out = out.join(half, keys, "left")
-        else:
-            out = out.withColumn("_half", half.scalar())
-        out = out.withColumn(f"{side}_p50", F.col("_half")[0]).drop("_half")
+    if not sides:
+        return out
+    halves = {f"_{side}": Percentiles(f"_y_{side}", (0.5,), f"_p_{side}_") for side in sides}
+    sided = pairs.select(*keys, *(F.when(condition, F.col("y")).alias(f"_y_{side}") for side, condition in sides.items()))
+    middle = aggregate(sided, keys, [], halves)
+    columns = [c for c in out.columns if not c.startswith(tuple(sides))]
+    if keys:
+        out = out.join(middle, keys, "left")
+    else:
+        out = out.withColumn("_middle", middle.select(F.struct(*halves)).scalar()).select("*", "_middle.*")
+    for side in sides:
+        out = out.withColumn(f"{side}_p50", F.col(f"_{side}")[0])
         columns += [f"{side}_{name}" for name in ("count", "mean", "sd", "min", "max", "p50")]
     return out.select(*columns)
 

@@ -4,6 +4,10 @@ The index is a postings table: one row per (document, term) with frequency and
 positions. Queries are structured (all / any / none / phrases / prefixes)
 rather than a query string. Ranking is BM25 with k1 = 1.2 and b = 0.75; a
 smaller score is a better hit.
+
+Texts of several subjects are told apart by ``keys``: rarity and lengths are those of the
+subject's own texts, limits are per subject, and joins are on subject and document. By default
+the subject column is the key wherever the texts have it.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import TOKEN, fold_text, tokens
 from tidemark.operators.lineage import computed_once
+from tidemark.operators.ranks import best_of
+from tidemark.specs import keys_of
 
 # Ranking parameters and snippet shape.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -59,19 +65,22 @@ def query_tokens(text: str) -> tuple[str, ...]:
     return tuple(re.findall(r"[^\W_]+", fold_text(text)))
 
 
-def build_postings(texts: DataFrame, doc: str = "archive_key", text: str = "text") -> DataFrame:
-    """``doc, doc_length, term, tf, positions`` of every term of every text."""
-    listed = texts.select(doc, tokens(F.col(text)).alias("_tokens")).select(
-        doc, F.size("_tokens").alias("doc_length"), F.posexplode("_tokens").alias("pos", "term")
+def build_postings(
+    texts: DataFrame, doc: str = "archive_key", text: str = "text", keys: Sequence[str] | None = None
+) -> DataFrame:
+    """``keys, doc, doc_length, term, tf, positions`` of every term of every text."""
+    on = [*keys_of(texts, keys), doc]
+    listed = texts.select(*on, tokens(F.col(text)).alias("_tokens")).select(
+        *on, F.size("_tokens").alias("doc_length"), F.posexplode("_tokens").alias("pos", "term")
     )
-    return listed.groupBy(doc, "doc_length", "term").agg(
+    return listed.groupBy(*on, "doc_length", "term").agg(
         F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
     )
 
 
-def corpus_size(texts: DataFrame, text: str = "text") -> DataFrame:
-    """One row: number of texts and mean length in tokens (empty texts count)."""
-    return texts.agg(
+def corpus_size(texts: DataFrame, text: str = "text", keys: Sequence[str] | None = None) -> DataFrame:
+    """Per key: number of texts and mean length in tokens (empty texts count)."""
+    return texts.groupBy(*keys_of(texts, keys)).agg(
         F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("mean_length")
     )
 
@@ -134,19 +143,22 @@ def _starts_in(words: Column, unit: tuple[str, ...], prefix: bool) -> Column:
     return F.filter(F.transform(words, at), lambda i: i.isNotNull())
 
 
-def scan(texts: DataFrame, query: Query, doc: str = "archive_key", text: str = "text") -> DataFrame:
+def scan(
+    texts: DataFrame, query: Query, doc: str = "archive_key", text: str = "text", keys: Sequence[str] | None = None
+) -> DataFrame:
     """The rows of ``match`` for every text, without an index and without a shuffle."""
     words = F.col("_words")
-    listed = texts.select(doc, tokens(F.col(text)).alias("_words")).select(
-        doc, F.size(words).alias("doc_length"),
+    on = [*keys_of(texts, keys), doc]
+    listed = texts.select(*on, tokens(F.col(text)).alias("_words")).select(
+        *on, F.size(words).alias("doc_length"),
         *(_starts_in(words, u, p).alias(f"starts{i}") for i, (_, u, p) in enumerate(query.units())),
         *(_starts_in(words, u, False).alias(f"_not{i}") for i, u in enumerate(query.excluded())),
     )
     return _found(computed_once(listed), query)
 
 
-def match(postings: DataFrame, query: Query, doc: str = "archive_key") -> DataFrame:
-    """``doc, doc_length, starts0, starts1, ...`` of the documents that match.
+def match(postings: DataFrame, query: Query, doc: str = "archive_key", keys: Sequence[str] | None = None) -> DataFrame:
+    """``keys, doc, doc_length, starts0, starts1, ...`` of the documents that match.
 
     Only postings of the query's own terms are read; one grouping by document
     evaluates every part.
@@ -155,35 +167,42 @@ def match(postings: DataFrame, query: Query, doc: str = "archive_key") -> DataFr
     words = {t for _, u, p in units for t in (u[:-1] if p else u)} | {t for u in excluded for t in u}
     wanted = [F.col("term").isin(sorted(words))] if words else []
     wanted += [F.col("term").startswith(u[-1]) for _, u, p in units if p]
-    found = postings.where(reduce(or_, wanted)).groupBy(doc, "doc_length").agg(
+    found = postings.where(reduce(or_, wanted)).groupBy(*keys_of(postings, keys), doc, "doc_length").agg(
         *(_starts(u, p).alias(f"starts{i}") for i, (_, u, p) in enumerate(units)),
         *(_starts(u, False).alias(f"_not{i}") for i, u in enumerate(excluded)),
     )
     return _found(found, query)
 
 
-def score(found: DataFrame, n_units: int, corpus: DataFrame | None = None) -> DataFrame:
+def score(found: DataFrame, n_units: int, corpus: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Matching documents with their BM25 ``score``.
 
-    ``corpus`` gives the number and mean length of all texts; without it
-    ``found`` has to hold every text. The counts reach the score as a scalar
-    subquery, so nothing is joined.
+    ``corpus`` gives the number and mean length of all texts per key; without it ``found`` has to
+    hold every text. Without keys the counts reach the score as one scalar subquery, so nothing is joined.
     """
     facts = [F.count_if(F.size(f"starts{i}") > 0).alias(f"df{i}") for i in range(n_units)]
     if corpus is None:
         facts += [F.count("*").alias("n_docs"), F.avg("doc_length").alias("mean_length")]
-    counts = found.agg(F.struct(*facts)).scalar()
-    size = counts if corpus is None else corpus.select(F.struct("n_docs", "mean_length")).scalar()
-    n_docs, mean_length = size["n_docs"], size["mean_length"]
+    counts = found.groupBy(*keys).agg(*facts)
+    names = [c for c in counts.columns if c not in keys]
+    matching = found.where("_match")
+    if keys:
+        counts = counts if corpus is None else counts.join(corpus, list(keys))
+        matching = matching.join(counts, list(keys))
+    else:
+        matching = matching.withColumn("_facts", counts.select(F.struct(*names)).scalar())
+        if corpus is not None:
+            matching = matching.withColumn("_size", corpus.select(F.struct("n_docs", "mean_length")).scalar()).select("*", "_size.*")
+        matching = matching.select("*", "_facts.*").drop("_facts", "_size")
     total = F.lit(0.0)
     for i in range(n_units):
-        df = counts[f"df{i}"]
-        raw = F.log((n_docs - df + 0.5) / (df + 0.5))
+        df = F.col(f"df{i}")
+        raw = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5))
         idf = F.when(raw <= 0, IDF_FLOOR).otherwise(raw)
         tf = F.size(f"starts{i}").cast("double")
-        norm = K1 * (1 - B + B * F.col("doc_length") / mean_length)
+        norm = K1 * (1 - B + B * F.col("doc_length") / F.col("mean_length"))
         total = total + idf * tf * (K1 + 1) / (tf + norm)
-    return found.where("_match").withColumn("score", -total)
+    return matching.withColumn("score", -total)
 
 
 def search(
@@ -195,34 +214,32 @@ def search(
     docs: DataFrame | None = None,
     doc: str = "archive_key",
     limit: int = 20,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The ``limit`` best hits: ``doc, score, snippet`` plus document columns.
+    """Each subject's ``limit`` best hits: ``keys, doc, score, snippet`` plus document columns.
 
     With stored ``postings`` only the query's own terms are read; without them
     every text is scanned. Texts and documents are joined to the hits only,
     after the top-k.
     """
-    units = query.units()
+    units, keys = query.units(), keys_of(texts, keys)
+    on = [*keys, doc]
     if postings is None:
-        found, corpus = scan(texts, query, doc), None
+        found, corpus = scan(texts, query, doc, keys=keys), None
     else:
-        found = match(postings, query, doc)
-        corpus = corpus_size(texts) if corpus is None else corpus
-    hits = (
-        score(found, len(units), corpus)
-        .orderBy("score", doc)
-        .limit(limit)
-    )
+        found = match(postings, query, doc, keys)
+        corpus = corpus_size(texts, keys=keys) if corpus is None else corpus
+    hits = best_of(score(found, len(units), corpus, keys), keys, [F.col("score"), F.col(doc)], limit)
     spans = F.flatten(F.array(*(
         _spans(F.col(f"starts{i}"), i, len(u)) for i, (_, u, _) in enumerate(units)
     )))
-    top = hits.select(doc, "score", F.array_sort(spans).alias("_spans"))
-    out = top.join(texts, doc).withColumn("snippet", snippet(F.col("text"), F.col("_spans")))
-    columns = [doc, *(["title"] if "title" in texts.columns else [])]
+    top = hits.select(*on, "score", F.array_sort(spans).alias("_spans"))
+    out = top.join(texts, on).withColumn("snippet", snippet(F.col("text"), F.col("_spans")))
+    columns = [*on, *(["title"] if "title" in texts.columns else [])]
     if docs is not None:
-        out = out.join(docs.select(doc, "kind", "source", "document_date"), doc)
+        out = out.join(docs.select(*on, "kind", "source", "document_date"), on)
         columns += ["kind", "source", "document_date"]
-    return out.select(*columns, "score", "snippet").orderBy("score", doc)
+    return out.select(*columns, "score", "snippet").orderBy(*keys, "score", doc)
 
 
 def snippet(text: Column, spans: Column, length: int = SNIPPET_TOKENS) -> Column:
@@ -271,23 +288,30 @@ def snippet(text: Column, spans: Column, length: int = SNIPPET_TOKENS) -> Column
         F.when(begin > 0, ELLIPSIS).otherwise(lead), body, F.when(end < count, ELLIPSIS).otherwise(""))
 
 
-def catalog(texts: DataFrame, docs: DataFrame, limit: int = 20, doc: str = "archive_key") -> DataFrame:
-    """Newest narratives first with their opening characters (no query given)."""
+def catalog(
+    texts: DataFrame, docs: DataFrame, limit: int = 20, doc: str = "archive_key", keys: Sequence[str] | None = None
+) -> DataFrame:
+    """Each subject's newest narratives first with their opening characters (no query given)."""
+    keys = keys_of(texts, keys)
+    on = [*keys, doc]
     order = [F.col("document_date").desc_nulls_last(), F.col("archived_at").desc(), F.col(doc).desc()]
-    columns = [doc, *(["title"] if "title" in texts.columns else []), "kind", "source", "document_date"]
-    joined = texts.join(docs.select(doc, "kind", "source", "document_date", "archived_at"), doc)
+    columns = [*on, *(["title"] if "title" in texts.columns else []), "kind", "source", "document_date"]
+    joined = texts.join(docs.select(*on, "kind", "source", "document_date", "archived_at"), on)
     opening = F.substring("text", 1, OPENING_CHARS).alias("snippet")
-    return joined.select(*columns, "archived_at", opening).orderBy(*order).limit(limit).drop("archived_at")
+    newest = best_of(joined.select(*columns, "archived_at", opening), keys, order, limit)
+    return newest.orderBy(*keys, *order).drop("archived_at")
 
 
 def narrative(
-    texts: DataFrame, docs: DataFrame, problems: DataFrame, archive_key: str
+    texts: DataFrame, docs: DataFrame, problems: DataFrame, archive_key: str, keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """One narrative with its text and codings; no row when it is not a narrative."""
+    """One narrative with its text and codings, for each subject that has it; no row when it is not a narrative."""
+    keys = keys_of(texts, keys)
+    on = [*keys, "archive_key"]
     key = F.col("archive_key") == archive_key
     codings = (
         problems.where(key)
-        .groupBy("archive_key")
+        .groupBy(*on)
         .agg(F.sort_array(F.collect_list(F.struct(
             "onset_date", "seq", "coding_system", "coding_code", "coding_display", "section_label",
         ))).alias("_codings"))
@@ -297,9 +321,9 @@ def narrative(
         lambda c: c.dropFields("onset_date", "seq"),
     )
     return (
-        texts.where(key).select("archive_key", "title", "text")
-        .join(docs.where(key).select("archive_key", "kind", "source", "document_date", "original_filename"), "archive_key")
-        .join(codings, "archive_key", "left")
-        .select("archive_key", "kind", "source", "title", "document_date", "original_filename", "text",
+        texts.where(key).select(*on, "title", "text")
+        .join(docs.where(key).select(*on, "kind", "source", "document_date", "original_filename"), on)
+        .join(codings, on, "left")
+        .select(*on, "kind", "source", "title", "document_date", "original_filename", "text",
                 listed.alias("codings"))
     )

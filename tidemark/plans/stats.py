@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.buckets import bucket_columns, bucket_key, field_value, sort_columns
 from tidemark.operators.confidence import confidence_label, flag_provisional
 from tidemark.operators.islands import assign_episodes, detect_episodes
-from tidemark.operators.ranks import exact_percentiles
+from tidemark.operators.ranks import Percentiles, aggregate
 from tidemark.plans.observations import select_codings
 from tidemark.specs import FIELDS, SUBJECT, Coding, EpisodeSpec, check_bucket, check_zone, in_window, one_of
 
@@ -81,12 +81,7 @@ def stats(
         F.bool_or(F.col("_provisional") & F.col("_x").isNotNull()).alias("_open"),
         *(F.count_if(F.col("_x") < float(t)).alias(f"_below{i}") for i, t in enumerate(thresholds)),
     ]
-    out = rows.groupBy(*groups).agg(*aggs)
-    quartiles = exact_percentiles(rows, groups, "_x", QUARTILES, "_q")
-    if groups:
-        out = out.join(quartiles, groups, "left")
-    else:
-        out = out.withColumn("_q", quartiles.scalar())
+    out = aggregate(rows, groups, aggs, {"_q": Percentiles("_x", QUARTILES)})
 
     columns = [F.col(k) for k in keys]
     if bucket != "none":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.buckets import bucket_columns, bucket_key, field_value, interval_seconds, sort_columns
 from tidemark.operators.confidence import confidence_label, flag_provisional
 from tidemark.operators.islands import assign_episodes, runs
-from tidemark.operators.ranks import exact_percentiles
+from tidemark.operators.ranks import Percentiles, aggregate
 from tidemark.plans.observations import select_codings
 from tidemark.plans.stats import episodes_of
 from tidemark.specs import SUBJECT, Column, EpisodeSpec, check_bucket, check_zone, in_window
@@ -77,18 +77,17 @@ def aligned_table(
             inputs = inputs.unionByName(longest, allowMissingColumns=True)
 
     medians = [i for i, c in enumerate(columns) if c.aggregate == "median"]
-    out = inputs.groupBy(*groups).agg(
+    aggs = [
         F.bool_or("_provisional").alias("_open"),
         F.count("_seen").alias("_seen"),
-        *(
-            _reduced(c, i).alias(f"_v{i}")
-            for i, c in enumerate(columns)
-            if i not in medians
-        ),
-    ).where(F.col("_seen") > 0)
-    for i in medians:
-        half = exact_percentiles(inputs, groups, f"_x{i}", (0.5,), f"_m{i}")
-        out = out.join(half, groups, "left").withColumn(f"_v{i}", F.col(f"_m{i}")[0])
+        *(_reduced(c, i).alias(f"_v{i}") for i, c in enumerate(columns) if i not in medians),
+    ]
+    if medians:
+        out = aggregate(inputs, groups, aggs, {f"_m{i}": Percentiles(f"_x{i}", (0.5,), f"_p{i}_") for i in medians})
+        out = out.withColumns({f"_v{i}": F.col(f"_m{i}")[0] for i in medians})
+    else:
+        out = inputs.groupBy(*groups).agg(*aggs)
+    out = out.where(F.col("_seen") > 0)
 
     if episodes is not None:
         every = episodes.select(*keys, F.unix_micros("episode_start").alias("bucket_sort"))

@@ -5,6 +5,8 @@ The text of a narrative arrives as text; decoding a file format is not done here
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tidemark import schemas
 from tidemark.functions.clinical import ICD10_CM
 from tidemark.functions.text import any_anchored, date_spellings, normalize_space
 from tidemark.sources.archive import KEY
+from tidemark.specs import keys_of
 
 
 def parse_artifact(text: Column) -> Column:
@@ -50,15 +53,19 @@ def artifact_problems(applied: DataFrame) -> DataFrame:
     )
 
 
-def verify_claims(claims: DataFrame, texts: DataFrame, on: str = "archive_key") -> DataFrame:
+def verify_claims(
+    claims: DataFrame, texts: DataFrame, on: str = "archive_key", keys: Sequence[str] | None = None
+) -> DataFrame:
     """Check coded claims against the text they cite.
 
-    ``claims``: ``on, code, quote`` (+ anything); ``texts``: ``on, text``. Adds
+    ``claims``: ``keys, on, code, quote`` (+ anything); ``texts``: ``keys, on, text``, where ``keys`` are
+    the subject's by default, if the texts have it. Adds
     ``verified``, ``reject_reason`` and, for verified claims, ``coding_system``.
     Claims of a document that is absent are rejected as unsupported quotes.
     """
     # the shorter column travels normalised; the document is matched whole
-    joined = claims.join(texts.select(on, normalize_space(F.col("text")).alias("_text")), on, "left")
+    both = [*keys_of(texts, keys), on]
+    joined = claims.join(texts.select(*both, normalize_space(F.col("text")).alias("_text")), both, "left")
     code, quote = F.col("code"), normalize_space(F.col("quote"))
     reason = (
         F.when(code.isNull() | (normalize_space(code) == ""), "empty code")
@@ -74,13 +81,16 @@ def verify_claims(claims: DataFrame, texts: DataFrame, on: str = "archive_key")
     )
 
 
-def verify_dates(claims: DataFrame, texts: DataFrame, on: str = "archive_key") -> DataFrame:
+def verify_dates(
+    claims: DataFrame, texts: DataFrame, on: str = "archive_key", keys: Sequence[str] | None = None
+) -> DataFrame:
     """Check claimed document dates: ``on, document_date, document_date_quote``.
 
     The quote has to be in the text and to spell the date, not as a part of a
     longer number. Adds ``reject_reason`` (null for no claim) and ``verified``.
     """
-    joined = claims.join(texts.select(on, normalize_space(F.col("text")).alias("_text")), on, "left")
+    both = [*keys_of(texts, keys), on]
+    joined = claims.join(texts.select(*both, normalize_space(F.col("text")).alias("_text")), both, "left")
     date, quote = F.col("document_date"), normalize_space(F.col("document_date_quote"))
     supported = F.coalesce(F.col("_text").contains(quote), F.lit(False)) & F.coalesce(
         any_anchored(quote, date_spellings(date)), F.lit(False))

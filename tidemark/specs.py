@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column as SparkColumn
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SUBJECT = ("subject_id",)
@@ -72,6 +73,11 @@ class Column:
                 raise ValueError("gap_seconds must be >= 0")
 
 
+def keys_of(df: DataFrame, keys: Sequence[str] | None) -> list[str]:
+    """The given key columns; by default the subject's, where the table has it."""
+    return [k for k in SUBJECT if k in df.columns] if keys is None else list(keys)
+
+
 def one_of(what: str, value: str, allowed: Sequence[str]) -> None:
     if value not in allowed:
         raise ValueError(f"invalid {what} {value!r}; expected one of {', '.join(allowed)}")
