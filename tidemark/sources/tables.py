@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.specs import SUBJECT
 
 TABLES = {
     "source_documents": schemas.SOURCE_DOCUMENTS,
@@ -56,3 +59,8 @@ def problems_of_document(problems: DataFrame, archive_key: str) -> DataFrame:
 
 def medications_of_document(medications: DataFrame, archive_key: str) -> DataFrame:
     return medications.where(F.col("archive_key") == archive_key).orderBy("start_date", "seq")
+
+
+def day_state_list(day_states: DataFrame, source: str, keys: Sequence[str] = SUBJECT) -> DataFrame:
+    """The day states of one source, each subject's in the order of their dates."""
+    return day_states.where(F.col("source_name") == source).orderBy(*keys, "date")
