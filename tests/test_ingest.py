@@ -32,7 +32,7 @@ def rebuild(blobs, derived=None, stage_path=None):
 
 
 def test_unstaged_rebuild_gives_the_same_rows(spark):
-    blobs = frame(spark, blob(fx.DIABETES, "ccda"), hr_day(beats(("2026-06-22T12:00:00Z", 72)), "2026-06-22T13:00:00Z"))
+    blobs = frame(spark, blob(fx.SAMPLE, "ccda"), hr_day(beats(("2026-06-22T12:00:00Z", 72)), "2026-06-22T13:00:00Z"))
     lazy, staged = plan.rebuild(blobs), rebuild(blobs)
     for name in ("observations", "source_documents"):
         assert sorted(map(str, lazy[name].collect())) == sorted(map(str, staged[name].collect()))
@@ -57,18 +57,18 @@ def hr_day(text, at, day="2026-06-22"):
 
 
 def test_clinical_document(spark):
-    t = rebuild(frame(spark, blob(fx.DIABETES, "ccda")))
+    t = rebuild(frame(spark, blob(fx.SAMPLE, "ccda")))
     obs = t["observations"].orderBy("seq").collect()
     assert [(o.coding_code, o.value_quantity, o.value_unit, o.effective_start) for o in obs] == [
-        ("29463-7", 72.5, "kg", dt.datetime(2026, 1, 1, 12)),
-        ("4548-4", 5.5, "%", dt.datetime(2025, 8, 6, 4, 2)),
+        ("29463-7", 61.25, "kg", dt.datetime(2026, 1, 1, 12)),
+        ("2093-3", 188.0, "mg/dL", dt.datetime(2024, 5, 17, 9, 30)),
     ]
     p, = t["problems"].collect()
     assert (p.coding_system, p.coding_code, p.status, p.onset_date, p.section_label) == (
-        "http://snomed.info/sct", "44054006", "completed", "2020-03-15", None)
+        "http://snomed.info/sct", "195967001", "completed", "2018-09-22", None)
     m, = t["medications"].collect()
     assert (m.coding_code, m.dose, m.route, m.frequency, m.start_date, m.end_date) == (
-        "860975", "500 mg", "Oral", None, "2021-06-01", None)
+        "745679", "2 puff", "Inhaled", None, "2019-03-10", None)
     d, = t["source_documents"].collect()
     assert d.document_date == dt.date(2026, 1, 2)  # the UTC day
 
@@ -121,10 +121,10 @@ def test_rejected_documents(spark):
         return fx.document(fx.section("8716-3", fx.panel(o)))
 
     cases = {
-        "not well-formed XML": fx.DIABETES[:-20],
+        "not well-formed XML": fx.SAMPLE[:-20],
         "root element is not ClinicalDocument": "<other xmlns='urn:hl7-org:v3'><templateId/></other>",
-        "root element is in another namespace": fx.DIABETES.replace("urn:hl7-org:v3", "urn:x"),
-        "root element has no templateId": fx.DIABETES.replace('<templateId root="1.2"/>', ""),
+        "root element is in another namespace": fx.SAMPLE.replace("urn:hl7-org:v3", "urn:x"),
+        "root element has no templateId": fx.SAMPLE.replace('<templateId root="1.2"/>', ""),
         "missing or malformed effectiveTime": vit(fx.observation(fx.pq(1), at=None)),
         "quantity is not numeric": vit(fx.observation(fx.pq("many"))),
         "unsupported value type": vit(fx.observation('<value xsi:type="TS" value="1"/>')),
@@ -233,7 +233,7 @@ def test_artifacts(spark):
         spark,
         artifact(doc[1], "2026-07-01T00:00:00Z", codes=("OLD",)), artifact(doc[1], "2026-07-02T00:00:00Z"),
         artifact("0" * 64, "2026-07-02T00:00:00Z"), blob("{}", A.EXTRACTION),
-        blob(fx.DIABETES, "ccda"), blob(fx.DIABETES + " ", "ccda", manifest=False),
+        blob(fx.SAMPLE, "ccda"), blob(fx.SAMPLE + " ", "ccda", manifest=False),
     )
     t = rebuild(frame(spark, doc), derived)
     assert sorted((p.coding_code, p.status, p.onset_date, p.section_label) for p in t["problems"].collect()) == [
@@ -258,8 +258,8 @@ def test_archive_files_and_staged_rebuild(spark, tmp_path):
         (folder / f"{key}.meta.json").write_text(json.dumps({
             "specversion": "1.0", "id": key, "source": "fitbit", "type": A.HEART_RATE_DAY, "datacontenttype": "application/json",
             "subject": "2026-06-22", "time": "2026-06-22T13:00:00Z"}, indent=1))
-        legacy = hashlib.sha256(fx.DIABETES.encode()).hexdigest()
-        (folder / legacy).write_text(fx.DIABETES)
+        legacy = hashlib.sha256(fx.SAMPLE.encode()).hexdigest()
+        (folder / legacy).write_text(fx.SAMPLE)
         (folder / "notes.txt").write_text("ignored")
     blobs = A.scan_archive(spark, str(root))
     assert blobs.count() == 4
@@ -286,3 +286,13 @@ def test_new_blobs(spark):
         ("p0", hashlib.sha256(b"a").hexdigest()), ("p1", hashlib.sha256(b"b").hexdigest())]
     groups = A.copy_groups(incoming, "content", "path")
     assert sorted(r.copies for r in groups.collect()) == [1, 1, 3]
+
+
+def test_a_blob_given_twice_counts_once(spark):
+    day = hr_day(beats(("2026-06-22T12:00:00Z", 72)), "2026-06-22T13:00:00Z")
+    later = (*day[:6], ts("2026-06-25T00:00:00Z"), *day[7:])
+    doc = blob(fx.SAMPLE, "ccda")
+    once, twice = rebuild(frame(spark, doc, day)), rebuild(frame(spark, doc, doc, day, later, doc))
+    for name in ("observations", "source_documents", "problems", "medications", "source_day_state", "tally"):
+        assert sorted(map(str, once[name].collect())) == sorted(map(str, twice[name].collect())), name
+    assert twice["tally"].first().blobs_found == 2 and twice["observations"].count() == 3

@@ -118,3 +118,16 @@ def test_state_versions(spark, tmp_path):
     assert versions(spark, path) == [3, 4, 5]
     assert read_state(spark, path, "k int").count() == 5
     assert read_state(spark, path, "k int", before=5).count() == 4
+
+
+def test_a_day_pulled_again_without_samples_loses_its_rows(spark, tmp_path):
+    landing, root, check = (str(tmp_path / n) for n in ("landing", "tables", "check"))
+    day = hr_day(beats(("2026-06-22T12:00:00Z", 72), ("2026-06-22T12:00:02Z", 75)), "2026-06-22T13:00:00Z")
+    other = hr_day(beats(("2026-06-23T12:00:00Z", 60)), "2026-06-23T13:00:00Z", "2026-06-23")
+    empty = hr_day(beats(), "2026-06-22T20:00:00Z")
+    counts = []
+    for blobs in ((day, day, other), (empty,), (day,)):
+        land(spark, landing, *blobs)
+        start_ingest_stream(spark, landing, root, check, now="2026-06-24T00:00:00Z").awaitTermination()
+        counts.append(sorted(r.value_quantity for r in read_rows(spark, root).collect()))
+    assert counts == [[60.0, 72.0, 75.0], [60.0], [60.0]]

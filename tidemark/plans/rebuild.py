@@ -143,11 +143,12 @@ def rebuild(
 
     Superseded pulls of a heart-rate day contribute to the day state only. A
     clinical document with one bad row is rejected as a whole. The newest
-    artifact per document sets its date, its title and its coded problems.
+    artifact per document sets its date, its title and its coded problems. A blob given
+    more than once counts once.
     """
-    parsed = parse_blobs(blobs, stage_system=stage_system)
+    parsed = parse_blobs(A.one_per_key(blobs), stage_system=stage_system)
     if derived is not None:
-        parsed = parsed.unionByName(parse_blobs(derived, derived=True, stage_system=stage_system))
+        parsed = parsed.unionByName(parse_blobs(A.one_per_key(derived), derived=True, stage_system=stage_system))
     if stage_path is not None:
         parsed = stage(parsed, stage_path)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.operators.lineage import stored
 from tidemark.specs import SUBJECT
 
 KEY_PATTERN = "^[0-9a-f]{64}$"
@@ -118,3 +119,18 @@ def copy_groups(texts: DataFrame, content: str, row_id: str) -> DataFrame:
         .groupBy("archive_key")
         .agg(F.count("*").alias("copies"), F.min(row_id).alias("first_id"))
     )
+
+
+def one_per_key(blobs: DataFrame) -> DataFrame:
+    """Blobs with one row per key: of repeated ones the first archived, ties by manifest.
+
+    A first pass over the keys, which leaves payloads unread, finds the repeated ones and stores
+    them. Only rows of those keys are shuffled; where there are none, the blobs pass as they are.
+    """
+    repeated = stored(blobs.groupBy(*KEY).agg(F.count("*").alias("_n")).where("_n > 1").select(*KEY), "repeated-keys")
+    if repeated.isEmpty():
+        return blobs
+    first = F.struct("archived_at", *(c for c in ("kind", "source", "manifest_subject", "original_filename") if c in blobs.columns))
+    rest = [c for c in blobs.columns if c not in KEY]
+    again = blobs.join(repeated, KEY, "left_semi").groupBy(*KEY).agg(F.min_by(F.struct(*rest), first).alias("_row"))
+    return blobs.join(repeated, KEY, "left_anti").unionByName(again.select(*KEY, "_row.*"))

@@ -29,12 +29,13 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str, now=None, stage_sys
 
     ``pulls`` keeps every accepted blob's day and sample count, so day states
     and winners follow from history and a replayed batch changes nothing. Only
-    the ``(source, document_date)`` partitions the batch touches are rewritten.
+    the ``(source, document_date)`` partitions the batch touches are rewritten; each gets
+    a row without a key as well, so that a day pulled again without samples loses its rows.
     """
     spark = batch.sparkSession
     if batch.isEmpty():
         return
-    parsed = stage(parse_blobs(batch, stage_system=stage_system), f"{root}/staging")
+    parsed = stage(parse_blobs(A.one_per_key(batch), stage_system=stage_system), f"{root}/staging")
     pulls = accepted(
         parsed.where(F.col("route") != A.EXTRACTION),
         "kind", "source", "original_filename", "archived_at", "document_date", "samples_count")
@@ -57,6 +58,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str, now=None, stage_sys
     columns = [c for c in fresh.columns if c not in KEY]
     rows = fresh if stored is None else kept.select(*KEY, *columns).unionByName(fresh)
     rows = rows.join(current.select(*KEY), KEY, "left_semi")
+    emptied = days.select(*(F.col(c) if c in DAY else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    rows = rows.unionByName(emptied)
     (
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*DAY).parquet(f"{root}/observations")
@@ -76,7 +79,7 @@ def read_rows(spark: SparkSession, root: str) -> DataFrame | None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/observations")
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         return None
-    return spark.read.schema(ROWS).parquet(f"{root}/observations")
+    return spark.read.schema(ROWS).parquet(f"{root}/observations").where(F.col("archive_key").isNotNull())
 
 
 def sync_tally(pulls: DataFrame) -> DataFrame:
