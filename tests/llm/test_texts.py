@@ -105,6 +105,50 @@ def test_token_counts_of_odd_documents(odd_documents, no_documents):
     assert "text" not in kept.asDict() and len(kept.prefix_tokens) == 31
 
 
+def test_language_scores_by_plain_dictionaries(sent):
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(6)
+    letters = {"aa": "abcde", "bb": "defgh", "cc": "ghéüa"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 7)))
+    text = lambda lang, n: " ".join(word(lang) for _ in range(n)) + " 12, " + word(lang).upper()
+    train = [(k, text(lang, 30), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 15)]
+    tests = [(k, text(rng.choice(list(letters)), rng.randint(1, 25)), None) for k in range(60)]
+    words_in = lambda t: [w.decode() for w in re.findall(rb"[a-z\x80-\xff]+", t.encode().lower())]
+    grams_in = lambda w, n: [p for p in (f"\0{w}\0"[k : k + n] for k in range(len(w) + 3 - n)) if len(p) == n and p != "\0"]
+    tables = [{lang: Counter() for lang in letters} for _ in range(6)]
+    for _, t, lang in train:
+        for w in words_in(t):
+            tables[0][lang][w] += 1
+            for n in range(1, 6):
+                tables[n][lang].update(grams_in(w, n))
+    known = [set().union(*table.values()) for table in tables]
+    log_of = lambda n, key, lang: math.log(tables[n][lang][key] + langid.PSEUDO) - math.log(sum(tables[n][lang].values()) + langid.PSEUDO * (len(known[n]) + 1))
+
+    def scores(t):
+        sums = dict.fromkeys(letters, 0.0)
+        for w in words_in(t):
+            n, keys = 0, [w] if w in known[0] else []
+            for n in [0] if keys else range(5, 0, -1):
+                keys = keys or [g for g in grams_in(w, n) if g in known[n]]
+                if keys:
+                    break
+            for lang in sums:
+                sums[lang] += sum(log_of(n, key, lang) for key in keys) / max(1, len(keys))
+        return sums
+
+    schema = "doc_id long, text string, lang string"
+    model = langid.fit(sent.createDataFrame(train, schema))
+    got = {r.doc_id: r for r in langid.identify(sent.createDataFrame(tests, schema), model).collect()}
+    for k, t, _ in tests:
+        sums = scores(t)
+        best = max(sums, key=sums.get)
+        share = 1 / sum(math.exp((s - sums[best]) / math.sqrt(len(words_in(t)))) for s in sums.values())
+        assert got[k].lang_pred == best and abs(got[k].score - share) < 1e-3
+
+
 def test_language_by_words_and_by_ngrams(sent, odd_documents, no_documents):
     rng = random.Random(2)
     stems = {"en": ["the", "and", "ing", "tion"], "xx": ["zaz", "üro", "kkö", "qua"]}

@@ -5,9 +5,10 @@ its longest character n-grams that the model knows: if none of its 5-grams is kn
 4-grams are tried, and so on to single characters. A text gets the language with the largest
 sum. Words are runs of letters: a-z (A-Z folded) and all bytes beyond ASCII.
 
-The model is fitted on ``SAMPLE`` rows in expectation, chosen by a hash of the id, and has at
-most ``VOCABULARY`` words and ``GRAMS`` n-grams of each length, the most frequent ones; its
-size is therefore bounded whatever the corpus, which is what allows it to be broadcast.
+The model is fitted on ``SAMPLE`` rows in expectation, chosen by a hash of the id, and keeps all
+their words and n-grams; that sample bounds its size whatever the corpus, which is what allows
+it to be broadcast. A very long text is one text of the sample like any other, and when scored
+is held whole in its task.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from tidemark.llm.shared import fresh, kept_fields, stored
 from tidemark.llm.words import Alphabet, chunks_of, mix, words_of
 
 SAMPLE = 5_000
-VOCABULARY = 1 << 16
-GRAMS = 1 << 16
 LONGEST = 5
 #: Entries that a training task holds before it passes them on.
 HELD = 2_000_000
@@ -44,7 +43,7 @@ class Model(NamedTuple):
 
 
 class Spelled(NamedTuple):
-    """Distinct words as one row of code points, each word between two zeros."""
+    """Distinct words as one row of code points, A-Z folded, each word between two zeros."""
 
     points: np.ndarray
     word: np.ndarray  # number of the word at each point
@@ -57,7 +56,8 @@ def spell(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Spelled:
     ends = np.cumsum(size + 2)
     out = np.zeros(int(ends[-1]) if n else 0, np.uint8)
     at = np.repeat(ends - size - 1 - start, size) + _ranges(start, size)
-    out[at] = data[_ranges(start, size)]
+    letters = data[_ranges(start, size)]
+    out[at] = np.where((letters >= 0x41) & (letters <= 0x5A), letters | 0x20, letters)
     points = np.frombuffer(out.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     word = np.maximum(np.cumsum(points == 0) - 1, 0) // 2  # two zeros a word
     return Spelled(points, word, n)
@@ -126,27 +126,25 @@ def _flush(held: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray]]]) ->
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of ``docs(doc_id, text, lang)``; rows without language or text are not used."""
+    """A model of ``docs(doc_id, text, lang)``; rows without language or text are not used.
+
+    It is fitted on ``sample`` rows in expectation, chosen by a hash of the id, and keeps every word
+    and n-gram of them, so that the sample alone bounds what reaches the driver.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     total = max(1, rows.count())
     bound = min(1 << 30, (sample << 30) // total)
     rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < bound).select("text", "lang")
     counts = rows.mapInArrow(_counts, "n int, key long, lang string, count long").groupBy("n", "key", "lang").agg(F.sum("count").alias("count"))
-    by_key = stored(counts.groupBy("n", "key").agg(
-        F.sum("count").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("of"),
-    ).filter(F.col("all") >= 2), "langid-counts")
-    parts = [
-        by_key.filter(F.col("n") == n).orderBy(F.desc("all"), "key").limit(VOCABULARY if n == 0 else GRAMS)
-        for n in range(LONGEST + 1)
-    ]
-    got = [part.collect() for part in parts]
-    languages = sorted({name for part in got for row in part for name in row["of"]})
+    found = stored(counts, "langid-counts").toPandas()
+    languages = sorted(found["lang"].unique())
     tables = []
-    for part in got:
-        part.sort(key=lambda row: np.int64(row["key"]).view(np.uint64))
-        keys = np.array([row["key"] for row in part], np.int64).view(np.uint64)
-        count = np.array([[row["of"].get(name, 0) for name in languages] for row in part], float).reshape(len(part), len(languages))
-        logs = np.log(count + PSEUDO) - np.log(count.sum(0) + PSEUDO * (len(part) + 1))
+    for n in range(LONGEST + 1):
+        part = found[found["n"] == n]
+        keys, at = np.unique(part["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        count = np.zeros((len(keys), len(languages)))
+        count[at, np.searchsorted(languages, part["lang"])] = part["count"]
+        logs = np.log(count + PSEUDO) - np.log(count.sum(0) + PSEUDO * (len(keys) + 1))
         tables.append((keys, logs.astype(np.float32)))
     return Model(languages, tables)
 
