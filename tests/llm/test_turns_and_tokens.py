@@ -189,3 +189,17 @@ def test_shared_chunks_are_those_met_twice(sent):
     table = chunked_bpe.shared_chunks(docs, WORDS_PATH)
     assert table and all(c.decode() in passage for c in table)
     assert len(chunked_bpe.shared_chunks(docs, WORDS_PATH, most=3)) == 3
+
+
+def test_both_encodings_are_the_libraries_own():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(BYTES_PATH), sentencepiece.SentencePieceProcessor(model_file=PIECES_PATH)
+    a.encode_special_tokens = True
+    tok = token_alignment.loaded(BYTES_PATH, PIECES_PATH)
+    texts = [t for t in random_texts(1500, 50, 9) if t]
+    for text, (ids_a, ids_b) in zip(texts, tok.encode(texts), strict=True):
+        want_a, want_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        spelled = b"".join(tok.bytes_b[k] for k in want_b) == (" " + text).encode()
+        assert (list(ids_a), list(ids_b)) == ((want_a, want_b) if spelled else ([], []))
