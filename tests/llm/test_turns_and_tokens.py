@@ -203,3 +203,16 @@ def test_both_encodings_are_the_libraries_own():
         want_a, want_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
         spelled = b"".join(tok.bytes_b[k] for k in want_b) == (" " + text).encode()
         assert (list(ids_a), list(ids_b)) == ((want_a, want_b) if spelled else ([], []))
+
+
+def test_stored_segments_are_read_in_any_order(sent, tmp_path):
+    from tidemark.llm import chat
+
+    turns = sent.range(3000).select(
+        F.when(F.col("id") < 2900, 1).otherwise(2).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t "), "id").alias("text"))
+    segments = chat.format_segments(turns)
+    segments.repartition(3, "text").write.parquet(str(tmp_path / "segments"))
+    stored = sent.read.schema(segments.schema).parquet(str(tmp_path / "segments"))
+    assert sorted(map(str, chat.read_stored(stored).collect())) == sorted(map(str, chat.read_back(segments).collect()))
+    assert {r.conv_id: (r.n_turns, r.valid) for r in chat.read_stored(stored).collect()} == {1: (2900, True), 2: (100, True)}

@@ -142,6 +142,8 @@ DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string
 def read_back(segments: DataFrame, template: Template = CHAT) -> DataFrame:
     """What :func:`format_segments` says of each conversation, parsed from its text and mask.
 
+    The segments have to come as that function gives them, each conversation in order in one
+    partition; those read from a table are for :func:`read_stored`.
     ``valid``: every role followed in order and the last one may end a conversation.
     """
     kind = segments.schema["conv_id"].dataType.simpleString()
@@ -168,3 +170,9 @@ def read_back(segments: DataFrame, template: Template = CHAT) -> DataFrame:
             yield table([reader])
 
     return segments.select("conv_id", "text", "loss").mapInArrow(run, f"conv_id {kind}, {DIGEST}")
+
+
+def read_stored(segments: DataFrame, template: Template = CHAT) -> DataFrame:
+    """:func:`read_back` of segments in any order and partitions, which it gathers and sorts first."""
+    order = (F.col("conv_id").asc_nulls_first(), F.col("turn_no"), F.col("segment"))
+    return read_back(segments.repartition("conv_id").sortWithinPartitions(*order), template)
