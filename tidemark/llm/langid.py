@@ -136,16 +136,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     bound = min(1 << 30, (sample << 30) // total)
     rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) < bound).select("text", "lang")
     counts = rows.mapInArrow(_counts, "n int, key long, lang string, count long").groupBy("n", "key", "lang").agg(F.sum("count").alias("count"))
-    found = stored(counts, "langid-counts").toPandas()
-    languages = sorted(found["lang"].unique())
+    found = stored(counts, "langid-counts")
+    languages = sorted(row["lang"] for row in found.select("lang").distinct().collect())
+    number = F.array_position(F.lit(languages), F.col("lang")).cast("short") if languages else F.lit(0).cast("short")
     tables = []
-    for n in range(LONGEST + 1):
-        part = found[found["n"] == n]
-        keys, at = np.unique(part["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        count = np.zeros((len(keys), len(languages)))
-        count[at, np.searchsorted(languages, part["lang"])] = part["count"]
-        logs = np.log(count + PSEUDO) - np.log(count.sum(0) + PSEUDO * (len(keys) + 1))
-        tables.append((keys, logs.astype(np.float32)))
+    for n in range(LONGEST + 1):  # one length at a time, in few bytes an entry
+        part = found.where(F.col("n") == n).select("key", number.alias("of"), F.col("count").cast("int").alias("count")).toArrow()
+        keys, at = np.unique(part["key"].to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
+        count = np.zeros((len(keys), len(languages)), np.float32)
+        count[at, part["of"].to_numpy().astype(int) - 1] = part["count"].to_numpy()
+        totals = count.sum(0, dtype=float) + PSEUDO * (len(keys) + 1)
+        tables.append((keys, (np.log(count + np.float32(PSEUDO)) - np.log(totals)).astype(np.float32)))
     return Model(languages, tables)
 
 
