@@ -103,3 +103,44 @@ def test_one_read_and_one_exchange_for_next_samples(spark, tmp_path):
     plan = next_sample_intervals(spark.read.parquet(str(tmp_path / "rows")))._jdf.queryExecution().sparkPlan().toString()
     full = next_sample_intervals(spark.read.parquet(str(tmp_path / "rows")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and full.count("Exchange") == 1
+
+
+def test_ranks_with_ties_of_both_variables(spark, cut):
+    from tidemark.operators.ranks import average_ranks, exact_percentiles
+
+    rng = random.Random(6)
+    values = [0.0, 1.0, 1.0, 2.5, float("inf"), float("-inf"), float("nan"), None]
+    rows = [("hot" if rng.random() < 0.9 else "b", rng.choice(values), float(rng.randrange(40)), k) for k in range(600)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, k long").repartition(4)
+    got = {r.k: (r.rx, r.ry) for r in average_ranks(df, ["g"], {"x": "rx", "y": "ry"}).collect()}
+    order = lambda v: (1, 0.0) if v != v else (0, v)  # noqa: E731  (a NaN is the largest value)
+    for group in ("hot", "b"):
+        mine = [r for r in rows if r[0] == group]
+        for of in (1, 2):
+            keys = sorted(order(r[of]) for r in mine if r[of] is not None)
+            for r in mine:
+                if r[of] is None:
+                    assert got[r[3]][of - 1] is None
+                else:
+                    at = [i for i, v in enumerate(keys, 1) if v == order(r[of])]
+                    assert got[r[3]][of - 1] == sum(at) / len(at)
+    # percentiles of the same groups; ranks next to a NaN give NaN
+    for r in exact_percentiles(df, ["g"], "x", (0.0, 0.3, 0.5, 1.0), "p").collect():
+        mine = sorted((order(v[1]), v[1]) for v in rows if v[0] == r.g and v[1] is not None)
+        assert r.p[0] == mine[0][1] and r.p[3] != r.p[3]
+        at = 0.5 * (len(mine) - 1)
+        low, high = mine[int(at)][1], mine[min(int(at) + 1, len(mine) - 1)][1]
+        assert r.p[2] == low + (high - low) * (at - int(at)) or low == high == r.p[2]
+
+
+def test_percentiles_of_a_large_group(spark):
+    """Enough rows for the sketch to be inexact, most of them alike."""
+    from tidemark.operators.ranks import exact_percentiles
+
+    rows = spark.range(300_000).select(
+        F.when(F.col("id") % 50 != 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0).alias("v"))
+    probs = (0.01, 0.25, 0.5, 0.75, 0.999)
+    want = {r.g: r.p for r in rows.groupBy("g").agg(F.percentile("v", probs).alias("p")).collect()}
+    got = {r.g: r.p for r in exact_percentiles(rows, ["g"], "v", probs, "p").collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-6 for g in want for a, b in zip(got[g], want[g]))

@@ -163,32 +163,36 @@ def merged_runs(df: DataFrame, keys: Sequence[str], ties: Sequence[str], gap: in
     return placed.withColumn("_island", island).groupBy(*keys, "_island").agg(F.max_by("_e", "_s").alias("_end"))
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
-    """Add ``out``, the zero-based position of each row in ``order`` within ``keys``; the rows are stored."""
+def positions(df: DataFrame, keys: Sequence[str], order: str, out: str, weight: str | None = None) -> DataFrame:
+    """Add ``out``, the zero-based position of each row in ``order`` within ``keys``; the rows are stored.
+
+    With ``weight`` (a long column) a row counts that often: ``out`` is the sum of the rows before.
+    """
     keys, fields = list(keys), df.schema.fields
     schema = T.StructType([*fields, T.StructField(PART, T.LongType()), T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, count = TaskContext.get().partitionId(), None, 0
+        part, last, carried = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             columns = [batch.column(k) for k in keys]
-            starts = key_starts(columns, n)
-            first = np.flatnonzero(starts)
-            at = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+            first = np.flatnonzero(key_starts(columns, n))
+            counts = np.ones(n, np.int64) if weight is None else batch.column(weight).to_numpy()
+            sums = np.cumsum(counts) - counts
+            at = sums - np.repeat(sums[first], np.diff(np.append(first, n)))
             if last is not None and [c[0].as_py() for c in columns] == last:
-                at[: first[1] if len(first) > 1 else n] += count
-            last, count = [c[n - 1].as_py() for c in columns], int(at[-1]) + 1
+                at[: first[1] if len(first) > 1 else n] += carried
+            last, carried = [c[n - 1].as_py() for c in columns], int(at[-1] + counts[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part)), pa.array(at)], names=schema.names)
 
     send_package(df.sparkSession)
     local = stored(range_sorted(df, [*keys, order]).mapInArrow(run, schema), "positions")
     before, _ = _borders(keys)
     border = (
-        local.groupBy(*keys, PART).agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.sum("_n").over(before))
+        local.groupBy(*keys, PART).agg((F.count("*") if weight is None else F.sum(weight)).alias("_rows"))
+        .withColumn("_offset", F.sum("_rows").over(before))
         .where(F.col("_offset").isNotNull()).select(*keys, PART, "_offset")
     )
     moved = F.col(out) + F.coalesce("_offset", F.lit(0))

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.slicing import value_slice
+from tidemark.operators.ordered import positions
 
 #: Accuracy of quantile sketches: ranks are off by at most one in so many.
 SKETCH = 10_000
@@ -19,36 +19,13 @@ PARTS = ("under", "below", "low", "between", "high", "above")
 
 
 def value_positions(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """One row per distinct value: ``groups, value, _n, _lo, _total``.
+    """One row per distinct value: ``groups, value, _n, _lo``.
 
     ``_lo`` is the number of smaller values in the group, ``_n`` how often the
-    value occurs, ``_total`` the group's size. Equal values are counted before
-    any ordering, and ordering runs per value slice.
+    value occurs. Equal values are counted before they are put in order.
     """
-    within = [*groups, "_slice"]
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .select(*groups, value, value_slice(F.col(value)).alias("_slice"))
-        .groupBy(*within, value)
-        .agg(F.count("*").alias("_n"))
-    )
-    in_slice = (
-        Window.partitionBy(*within).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        counted.groupBy(*within)
-        .agg(F.sum("_n").alias("_m"))
-        .select(
-            *within,
-            F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_offset"),
-            F.sum("_m").over(Window.partitionBy(*groups)).alias("_total"),
-        )
-    )
-    local = counted.withColumn("_local", F.coalesce(F.sum("_n").over(in_slice), F.lit(0)))
-    return local.join(offsets, within).select(
-        *groups, value, "_n", (F.col("_offset") + F.col("_local")).alias("_lo"), "_total"
-    )
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    return positions(counted, groups, value, "_lo", "_n")
 
 
 class Percentiles:
@@ -158,12 +135,25 @@ def exact_percentiles(
     return aggregate(df.where(F.col(value).isNotNull()), groups, [], {out: Percentiles(value, probs)})
 
 
+def average_ranks(df: DataFrame, groups: Sequence[str], ranks: dict[str, str]) -> DataFrame:
+    """Add for each column the 1-based rank of its value in the group; ties share their mean position.
+
+    ``ranks`` maps columns to the names of their ranks. All columns are ranked in one ordered
+    pass, each value once however often it occurs.
+    """
+    of = {value: F.lit(i) for i, value in enumerate(ranks)}
+    listed = df.select(*groups, F.inline(F.array(*(F.struct(i.alias("_of"), F.col(v).cast("double").alias("_value")) for v, i in of.items()))))
+    mean = (F.col("_lo") + (F.col("_n") + 1) / 2.0).alias("_rank")
+    ranked = value_positions(listed, [*groups, "_of"], "_value").select(*groups, "_of", "_value", mean)
+    for value, out in ranks.items():
+        own = ranked.where(F.col("_of") == of[value]).select(*groups, F.col("_value").alias(value), F.col("_rank").alias(out))
+        df = df.join(own, [*groups, value], "left")
+    return df
+
+
 def average_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
     """Add the 1-based rank of ``value`` in its group; ties share their mean position."""
-    positions = value_positions(df, groups, value).select(
-        *groups, value, (F.col("_lo") + (F.col("_n") + 1) / 2.0).alias(out)
-    )
-    return df.join(positions, [*groups, value], "left")
+    return average_ranks(df, groups, {value: out})
 
 
 def best_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.buckets import shifted, sort_columns
 from tidemark.operators.islands import number_rows
 from tidemark.operators.lineage import stored
-from tidemark.operators.ranks import Percentiles, aggregate, average_rank
+from tidemark.operators.ranks import Percentiles, aggregate, average_ranks
 from tidemark.plans.table import aligned_table
 from tidemark.specs import PAIRING_BUCKETS, SUBJECT, Column, EpisodeSpec, check_bucket
 
@@ -98,8 +98,7 @@ def relationship(
     )
     # pairs are read for each ranking and each percentile; the table they come from is built once
     pairs = stored(pairs, "pairs")
-    ranked = average_rank(pairs, keys, "x", "_rx")
-    ranked = average_rank(ranked, keys, "y", "_ry")
+    ranked = average_ranks(pairs, keys, {"x": "_rx", "y": "_ry"})
 
     aggs = [
         F.count("x").alias("n_pairs"),
