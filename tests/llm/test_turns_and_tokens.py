@@ -216,3 +216,41 @@ def test_stored_segments_are_read_in_any_order(sent, tmp_path):
     stored = sent.read.schema(segments.schema).parquet(str(tmp_path / "segments"))
     assert sorted(map(str, chat.read_stored(stored).collect())) == sorted(map(str, chat.read_back(segments).collect()))
     assert {r.conv_id: (r.n_turns, r.valid) for r in chat.read_stored(stored).collect()} == {1: (2900, True), 2: (100, True)}
+
+
+def test_quality_training_step_by_step(sent):
+    """One shard: every update and score by plain dictionaries, from the same features."""
+    import math
+
+    import pyarrow as pa
+
+    from tidemark.llm import ftrl
+    from tidemark.llm.words import chunks_of
+
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choice(["good", "bad", "Page", "x1", "click", "ever"]) for _ in range(rng.randint(0, 12))), k % 2) for k in range(12)]
+    docs = sent.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = sent.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, label int")
+    model = ftrl.fit(docs, labels, shards=1, rounds=2)
+
+    found = [f for c in chunks_of(pa.array([t for _, t, _ in rows])) for f in ftrl.features(c)]
+    listed = [[*zip(p.tolist(), v.tolist()), (ftrl.DIMENSIONS, 1.0)] for p, v in found]
+    z, n = Counter(), Counter()
+
+    def weight(place):
+        if abs(z[place]) <= ftrl.L1:
+            return 0.0
+        return -(z[place] - math.copysign(ftrl.L1, z[place])) / ((ftrl.BETA + math.sqrt(n[place])) / ftrl.ALPHA + ftrl.L2)
+
+    def probability(features):
+        return 1 / (1 + math.exp(-sum(weight(place) * value for place, value in features)))
+
+    for _ in range(2):
+        for features, (_, _, label) in zip(listed, rows, strict=True):
+            error, before = probability(features) - label, {place: weight(place) for place, _ in features}
+            for place, value in features:
+                g = error * value
+                z[place] += g - (math.sqrt(n[place] + g * g) - math.sqrt(n[place])) / ftrl.ALPHA * before[place]
+                n[place] += g * g
+    got = {r.doc_id: r.score for r in ftrl.score(docs, model).collect()}
+    assert all(abs(got[k] - probability(listed[k])) < 1e-5 for k in got) and len(got) == 12
