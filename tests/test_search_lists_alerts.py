@@ -302,3 +302,12 @@ def test_notifications_of_each_subject(spark):
     log = spark.createDataFrame([("s1", "c", k) for k in range(4)] + [("s2", "c", k) for k in range(4)], "subject_id string, condition_id string, fired_at long")
     assert [(r.subject_id, r.fired_at) for r in notifications(log, 2, ["subject_id"]).collect()] == [("s1", 3), ("s1", 2), ("s2", 3), ("s2", 2)]
     assert notifications(log, 3).count() == 3
+
+
+def test_rows_of_a_document_that_two_subjects_have(spark):
+    from tidemark.sources.tables import day_state_list, observations_of_document
+
+    rows = spark.createDataFrame([("s2", "d", 2, 1), ("s1", "d", 3, 0), ("s2", "d", 1, 0), ("s1", "x", 1, 0)], "subject_id string, archive_key string, effective_start long, seq long")
+    assert [(r.subject_id, r.effective_start) for r in observations_of_document(rows, "d").collect()] == [("s1", 3), ("s2", 1), ("s2", 2)]
+    days = spark.createDataFrame([("s1", "a", 2), ("s2", "a", 1), ("s1", "a", 1), ("s1", "b", 0)], "subject_id string, source_name string, date long")
+    assert [(r.subject_id, r.date) for r in day_state_list(days, "a").collect()] == [("s1", 1), ("s1", 2), ("s2", 1)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.specs import SUBJECT
+from tidemark.specs import SUBJECT, keys_of
 
 TABLES = {
     "source_documents": schemas.SOURCE_DOCUMENTS,
@@ -49,16 +49,21 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
 
-def observations_of_document(obs: DataFrame, archive_key: str) -> DataFrame:
-    return obs.where(F.col("archive_key") == archive_key).orderBy("effective_start", "seq")
+def _of_document(rows: DataFrame, archive_key, keys: Sequence[str] | None, *order: str) -> DataFrame:
+    """Rows of one document, each subject's that has it by themselves."""
+    return rows.where(F.col("archive_key") == archive_key).orderBy(*keys_of(rows, keys), *order)
 
 
-def problems_of_document(problems: DataFrame, archive_key: str) -> DataFrame:
-    return problems.where(F.col("archive_key") == archive_key).orderBy("onset_date", "seq")
+def observations_of_document(obs: DataFrame, archive_key: str, keys: Sequence[str] | None = None) -> DataFrame:
+    return _of_document(obs, archive_key, keys, "effective_start", "seq")
 
 
-def medications_of_document(medications: DataFrame, archive_key: str) -> DataFrame:
-    return medications.where(F.col("archive_key") == archive_key).orderBy("start_date", "seq")
+def problems_of_document(problems: DataFrame, archive_key: str, keys: Sequence[str] | None = None) -> DataFrame:
+    return _of_document(problems, archive_key, keys, "onset_date", "seq")
+
+
+def medications_of_document(medications: DataFrame, archive_key: str, keys: Sequence[str] | None = None) -> DataFrame:
+    return _of_document(medications, archive_key, keys, "start_date", "seq")
 
 
 def day_state_list(day_states: DataFrame, source: str, keys: Sequence[str] = SUBJECT) -> DataFrame:

@@ -175,3 +175,25 @@ def clinical_rejects(spark, sf):
     blobs = d.narrative_blobs(spark, sf).withColumns({"kind": F.lit("ccda"), "source": F.lit("clinic")})
     out = R.rebuild(blobs)["rejects"]
     return out.select("archive_key", "kind", "source", F.when(F.col("reject_reason") != "", 1).otherwise(0).alias("given"))
+
+
+def _items_of_year(spark, sf):
+    """Order lines as list entries of documents that a customer's orders of one year make up."""
+    orders = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("archive_key"), F.year("o_orderdate").cast("string").alias("_year"))
+    return d.order_items(spark, sf).join(orders, "archive_key").drop("archive_key").withColumnRenamed("_year", "archive_key")
+
+
+ITEMS_OF_YEAR = """FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE year(o_orderdate) = 1996"""
+
+
+@register(f"SELECT o_custkey AS subject_id, p_brand AS coding_code, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS onset_date, CAST(l_linenumber AS BIGINT) AS line {ITEMS_OF_YEAR}")
+def problems_of_document(spark, sf):
+    """A document key that all subjects share: each one's own entries."""
+    out = tables.problems_of_document(_items_of_year(spark, sf), "1996")
+    return out.select("subject_id", "coding_code", "onset_date", F.col("seq.l_linenumber").cast("bigint").alias("line"))
+
+
+@register(f"SELECT o_custkey AS subject_id, p_brand AS coding_code, concat(CAST(l_quantity AS INT), ' mg') AS dose, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS start_date {ITEMS_OF_YEAR}")
+def medications_of_document(spark, sf):
+    out = tables.medications_of_document(_items_of_year(spark, sf), "1996")
+    return out.select("subject_id", "coding_code", "dose", "start_date")
