@@ -101,7 +101,7 @@ def local_islands(df: DataFrame, keys: Sequence[str], ties: Sequence[str], gap:
             if rows.num_rows == 1:
                 open_ = [held]
                 continue
-            # rows with the held row's start wait for it: all but the last of them do not matter
+            # the last row waits, as the next batch may begin with one of equal start
             islands = _chained(rows.slice(0, rows.num_rows - 1), n_keys, gap, by_reach)
             yield out(islands.slice(0, islands.num_rows - 1))
             open_ = [islands.slice(islands.num_rows - 1), held]
