@@ -38,6 +38,35 @@ def test_unstaged_rebuild_gives_the_same_rows(spark):
         assert sorted(map(str, lazy[name].collect())) == sorted(map(str, staged[name].collect()))
 
 
+def parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("from_xml(")
+
+
+def test_tables_of_an_unstaged_rebuild_parse_a_document_once(spark):
+    doc = blob(fx.SAMPLE, "ccda")
+    cites = blob(citing(doc[1]), A.EXTRACTION, "derived")
+    plain, main = plan.rebuild(frame(spark, doc)), plan.rebuild(frame(spark, doc, cites))
+    derived = plan.rebuild(frame(spark, doc), frame(spark, cites))
+    assert plain["tally"].collect() == rebuild(frame(spark, doc))["tally"].collect()
+    assert plain["narrative_texts"].columns == main["narrative_texts"].columns
+    # the branches of source documents are of different kinds: days twice, sessions, documents
+    assert {n: parses(plain[n]) for n in ("source_documents", "tally")} == {"source_documents": 4, "tally": 1}
+    for name in ("source_documents", "tally"):
+        assert parses(main[name]) == parses(derived[name]) == 0  # read from the stored rows
+    for given, staged in ((plain, rebuild(frame(spark, doc))), (main, rebuild(frame(spark, doc, cites)))):
+        for name in ("source_documents", "problems"):
+            assert given[name].schema == staged[name].schema
+            assert sorted(map(str, given[name].collect())) == sorted(map(str, staged[name].collect()))
+    assert [str(r.document_date) for r in main["source_documents"].collect()] == ["2026-03-04"]
+    assert sorted(r.coding_code for r in main["problems"].collect()) == ["195967001", "J45"]
+
+
+def citing(key):
+    coding = {"system": "s", "code": "J45", "display": "d", "quote": "q", "section_label": "l"}
+    return json.dumps({"document": key, "document_date": "2026-03-04", "title": "t", "codings": [coding],
+                       "extractor": {"model": "m", "prompt_version": 1}, "extracted_at": "2026-03-05T00:00:00Z"})
+
+
 def frame(spark, *blobs):
     return spark.createDataFrame(list(blobs), BLOBS)
 
