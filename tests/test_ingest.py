@@ -50,8 +50,8 @@ def test_tables_of_an_unstaged_rebuild_parse_a_document_once(spark):
     assert plain["tally"].collect() == rebuild(frame(spark, doc))["tally"].collect()
     assert plain["narrative_texts"].columns == main["narrative_texts"].columns
     # the branches of source documents are of different kinds: days twice, sessions, documents
-    assert {n: parses(plain[n]) for n in ("source_documents", "tally")} == {"source_documents": 4, "tally": 1}
-    for name in ("source_documents", "tally"):
+    assert {n: parses(plain[n]) for n in ("source_documents", "problems", "tally")} == {"source_documents": 4, "problems": 1, "tally": 1}
+    for name in ("source_documents", "problems", "tally"):
         assert parses(main[name]) == parses(derived[name]) == 0  # read from the stored rows
     for given, staged in ((plain, rebuild(frame(spark, doc))), (main, rebuild(frame(spark, doc, cites)))):
         for name in ("source_documents", "problems"):
