@@ -85,6 +85,21 @@ def test_snippets(spark):
     assert "([needle), next] v0" in phrase[0].snippet
 
 
+def test_postings_are_made_within_rows(spark):
+    rows = [("s1", "d", "Éa b a c-A"), ("s1", "e", None), ("s1", "f", " -- "), ("s2", "d", "b")]
+    postings = lambda *more: build_postings(spark.createDataFrame(rows + list(more), "subject_id string, archive_key string, text string"))
+    listed = lambda df: sorted((r.subject_id, r.archive_key, r.doc_length, r.term, r.tf, r.positions) for r in df.collect())
+    once = [("s1", "d", 5, "a", 2, [2, 4]), ("s1", "d", 5, "b", 1, [1]), ("s1", "d", 5, "c", 1, [3]), ("s1", "d", 5, "ea", 1, [0]),
+            ("s2", "d", 1, "b", 1, [0])]
+    df = postings()
+    assert listed(df) == once
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()  # which moved every token's term
+    # rows of one document and length are one text
+    assert listed(postings(("s1", "d", "a a b"), ("s2", "d", "b"), ("s2", "d", "c"))) == [
+        ("s1", "d", 3, "a", 2, [0, 1]), ("s1", "d", 3, "b", 1, [2]), *once[:4],
+        ("s2", "d", 1, "b", 2, [0, 0]), ("s2", "d", 1, "c", 1, [0])]
+
+
 def docs(spark, *rows):
     """Rows of (archive_key, date[, source[, archived_at]])."""
     out = []

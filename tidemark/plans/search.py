@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import TOKEN, fold_text, tokens
-from tidemark.operators.lineage import computed_once
+from tidemark.operators.lineage import computed_once, stored
 from tidemark.operators.ranks import best_of
 from tidemark.specs import keys_of
 
@@ -68,14 +68,41 @@ def query_tokens(text: str) -> tuple[str, ...]:
 def build_postings(
     texts: DataFrame, doc: str = "archive_key", text: str = "text", keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """``keys, doc, doc_length, term, tf, positions`` of every term of every text."""
+    """``keys, doc, doc_length, term, tf, positions`` of every term of every text.
+
+    A text's postings are made within its row, so no token is shuffled. Rows of one document
+    and length count as one text: a first pass over the keys, which leaves the texts unread,
+    finds and stores the documents given more than once, and only their postings are grouped.
+    """
     on = [*keys_of(texts, keys), doc]
-    listed = texts.select(*on, tokens(F.col(text)).alias("_tokens")).select(
-        *on, F.size("_tokens").alias("doc_length"), F.posexplode("_tokens").alias("pos", "term")
-    )
-    return listed.groupBy(*on, "doc_length", "term").agg(
-        F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
-    )
+    repeated = stored(texts.groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 1").select(*on), "repeated-documents")
+    if repeated.isEmpty():
+        return _postings_of_rows(texts, on, text)
+    same = reduce(and_, [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on])
+    part = lambda how: texts.alias("t").join(repeated.alias("r"), same, how)
+    again = _postings_of_rows(part("left_semi"), on, text).groupBy(*on, "doc_length", "term").agg(
+        F.sum("tf").cast("int").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return _postings_of_rows(part("left_anti"), on, text).unionByName(again)
+
+
+def _postings_of_rows(texts: DataFrame, on: Sequence[str], text: str) -> DataFrame:
+    """The postings of each row by itself: its tokens in order of term and position, cut where the term changes."""
+    placed = F.array_sort(F.transform("_tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    listed = computed_once(texts.select(*on, tokens(F.col(text)).alias("_tokens")))
+    listed = computed_once(listed.select(*on, F.size("_tokens").alias("doc_length"), placed.alias("_placed")))
+    places = F.col("_placed")
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size(places) - 1),
+        lambda i: (i == 0) | (F.get(places, i)["term"] != F.get(places, i - 1)["term"]))
+    cut = computed_once(listed.where(F.size(places) > 0).select(*on, "doc_length", "_placed", starts.alias("_starts")))
+
+    def posting(first: Column, k: Column) -> Column:
+        tf = F.coalesce(F.get(F.col("_starts"), k + 1), F.size(places)) - first
+        return F.struct(
+            F.get(places, first)["term"].alias("term"), tf.alias("tf"),
+            F.slice(places, first + 1, tf)["pos"].alias("positions"))
+
+    return cut.select(*on, "doc_length", F.inline(F.transform("_starts", posting)))
 
 
 def corpus_size(texts: DataFrame, text: str = "text", keys: Sequence[str] | None = None) -> DataFrame:
