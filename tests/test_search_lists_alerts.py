@@ -139,6 +139,19 @@ def test_problem_list(spark):
     assert (got.dose, got.document_count, str(got.latest_document_date)) == ("500 mg", 1, "2026-05-01")
 
 
+def test_lists_group_by_document_before_dates_are_joined(spark):
+    # a document given with two dates counts once, with its newest date and both ends of the range
+    d = docs(spark, ("a", "2026-01-01"), ("a", "2026-03-01"), ("b", "2026-02-01"), ("b", None))
+    rows = [("b", "x", "L2"), ("a", "first", "L1"), ("a", "last", None), ("gone", "y", "L9")]
+    p = spark.createDataFrame(
+        [("s1", k, i, "sct", "1", disp, "active", None, lab) for i, (k, disp, lab) in enumerate(rows)], schemas.PROBLEMS)
+    out = current_problems(p, d)
+    got, = out.collect()
+    assert (got.coding_display, got.document_count, str(got.first_seen), str(got.last_seen), got.section_labels,
+            str(got.latest_document_date)) == ("last", 2, "2026-01-01", "2026-03-01", ["L1", "L2"], "2026-03-01")
+    assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString()  # which moved all details once more
+
+
 def test_observation_reads(spark):
     from helpers import observations
     obs = observations(spark, [

@@ -16,26 +16,32 @@ def _current(
     """One row per coding, from its newest document; a missing date is oldest.
 
     Equal dates are decided by archive time, then archive key, then the row's
-    position. Winner, provenance and labels come from the same grouping.
+    position. Rows are grouped by document first, where they lie together after the
+    caller's joins, so that counting documents moves no row again; dates and the
+    subject's newest one reach the rows with the document's.
     """
     keys = list(keys)
-    dated = rows.join(docs.select(*keys, "archive_key", "document_date", "archived_at"), [*keys, "archive_key"])
+    on, coding = [*keys, "archive_key"], [*keys, "coding_system", "coding_code"]
+    aggs = [F.max_by(F.struct(*details), F.struct("seq")).alias("_details")]
+    if labels:
+        aggs.append(F.sort_array(F.collect_set("section_label")).alias("_labels"))
+    listed = rows.groupBy(*on, "coding_system", "coding_code").agg(*aggs)
+    dates = docs.groupBy(*on).agg(
+        F.max(F.struct("document_date", "archived_at")).alias("_at"), F.min("document_date").alias("_first"))
+    dated = listed.join(with_latest_document_date(dates, docs, keys), on)
     aggs = [
-        F.max_by(
-            F.struct(*details), F.struct("document_date", "archived_at", "archive_key", "seq")
-        ).alias("_newest"),
-        F.count_distinct("archive_key").alias("document_count"),
-        F.min("document_date").alias("first_seen"),
-        F.max("document_date").alias("last_seen"),
+        F.max_by("_details", F.struct("_at", "archive_key")).alias("_newest"),
+        F.count("archive_key").alias("document_count"),
+        F.min("_first").alias("first_seen"),
+        F.max("_at.document_date").alias("last_seen"),
     ]
     if labels:
-        aggs.append(F.sort_array(F.collect_set("section_label")).alias("section_labels"))
-    listed = dated.groupBy(*keys, "coding_system", "coding_code").agg(*aggs).select(
-        *keys, "coding_system", "coding_code", "_newest.*", "document_count", "first_seen", "last_seen",
-        *(["section_labels"] if labels else []),
+        aggs.append(F.sort_array(F.array_distinct(F.flatten(F.collect_set("_labels")))).alias("section_labels"))
+    out = dated.groupBy(*coding).agg(*aggs, F.max("latest_document_date").alias("latest_document_date")).select(
+        *coding, "_newest.*", "document_count", "first_seen", "last_seen",
+        *(["section_labels"] if labels else []), "latest_document_date",
     )
-    out = with_latest_document_date(listed, docs, keys)
-    return out.orderBy(*keys, "coding_system", "coding_code") if ordered else out
+    return out.orderBy(*coding) if ordered else out
 
 
 def with_latest_document_date(df: DataFrame, docs: DataFrame, keys: Sequence[str] = SUBJECT) -> DataFrame:
