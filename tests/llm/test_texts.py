@@ -224,6 +224,32 @@ def test_cross_entropy_equals_brute_force(sent, odd_documents, no_documents):
     assert cross_entropy.score(no_documents, cross_entropy.fit(no_documents, target)).count() == 0
 
 
+
+@pytest.mark.parametrize(("frequent", "hot", "held"), [(0, 0, 100), (20, 0, 1 << 21), (20, 30, 300), (1 << 12, 1 << 16, 1 << 21)])
+def test_cross_entropy_of_counted_documents_equals_the_models(sent, odd_documents, no_documents, monkeypatch, frequent, hot, held):
+    """Copies, repeated and null ids, texts of one word and none; frequent words and bigrams in every document."""
+    for name, value in (("FREQUENT", frequent), ("HOT", hot), ("HELD", held), ("SENT", held), ("PARTS", 7)):
+        monkeypatch.setattr(cross_entropy, name, value)
+    rng = random.Random(13)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(60)))) for k in range(120)]
+    rows += [(500 + k, rows[5][1]) for k in range(9)] + [(7, "w1 w1 w1 w2"), (None, rows[6][1]), (600, "W1"), (601, "w1"), (602, "only"), (603, None), (604, " ")]
+    docs = sent.createDataFrame(rows, "doc_id long, text string")
+    target = sent.createDataFrame([(k,) for k in [*range(0, 120, 2), 500, 7, 7, None]], "doc_id long")
+
+    def rounded(df):
+        return sorted((str(r.doc_id), str(r.text), r.n_words, *(round(x, 8) + 0.0 for x in r[-3:])) for r in df.collect())
+
+    got = rounded(cross_entropy.score_counted(docs, target))
+    want = rounded(cross_entropy.score(docs, cross_entropy.fit(docs, target)))
+    assert len(got) == len(want) == len(rows)
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], atol=1e-7)
+    odd = cross_entropy.score_counted(odd_documents, no_documents.select("doc_id"))
+    assert odd.columns == cross_entropy.score(odd_documents, cross_entropy.fit(odd_documents, no_documents.select("doc_id"))).columns
+    assert odd.count() == odd_documents.count()
+    assert cross_entropy.score_counted(no_documents, target).count() == 0
+
+
 @pytest.mark.parametrize("hot", [0, 50, 1 << 16])
 def test_cross_entropy_keeps_every_word(sent, monkeypatch, hot):
     """1,500 words, each as rare as the others, in the corpus and in texts of which a part is unseen."""
