@@ -163,6 +163,24 @@ def test_chunks_join_exactly(library, shortest, longest, bits):
         assert b"".join(chunked_bpe.chunks(text.encode(), shortest, longest, bits)) == text.encode()
 
 
+def test_new_words_are_merged_together(library, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aabeinorstth'é한1.\x1c") for _ in range(rng.randint(1, 30)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(150)] + ["", "\x1d a\x1e\x1fb  ", "x" * 200 + " x"]
+    codec = chunked_bpe.ChunkEncoder(WORDS_PATH)
+    alone = []
+    merged = codec.merged
+    monkeypatch.setattr(codec, "merged", lambda ids: alone.append(ids) or merged(ids))
+    found = codec.encode_all(texts)
+    assert list(map(list, found)) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(alone) < 2 * sum(len(list(codec.cut(t))) for t in texts)  # at joins; 12,917 when each word was merged alone
+
+    pieces = [bytes(rng.choice(b"abethin\xc3\xa9!") for _ in range(rng.randint(1, 90))) for _ in range(5000)]
+    ids, begins, sizes = codec.merged_together(pieces)
+    assert [ids[b : b + n].tolist() for b, n in zip(begins, sizes)] == list(map(codec.pieced, pieces))
+    assert [len(part) for part in codec.merged_together([])] == [0, 0, 0]
+
+
 def test_equal_passages_are_cut_alike():
     rng = random.Random(7)
     passage = "".join(rng.choice("abcdefghij klmno") for _ in range(8000)).encode()

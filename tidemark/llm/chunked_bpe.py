@@ -11,6 +11,10 @@ from the last piece that the left chunk alone determines, until a piece begins w
 the right chunk begins. From there on both segmentations are the same, and the right chunk's
 tokens stand. If no piece agrees before that chunk ends, the next one is taken in as well.
 
+Pieces never span white space. So the new chunks of some texts are encoded together: each of their
+different runs between white space is matched once, and all its pieces are merged side by side, one
+merge a piece in each step. Ids are then gathered run by run.
+
 The vocabulary is one of words with ends: text is composed (NFC), white space is dropped, letters
 are lower-cased one by one, and the last letter of each piece carries the mark of the word's end.
 """
@@ -25,10 +29,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,8 +45,12 @@ from tidemark.llm.token_counts import SPACE, _byte_letters
 
 #: Bytes that the rolling hash sees, how many of its bits are zero at a cut, and the size of chunks.
 WINDOW, CUT_BITS, SHORTEST, LONGEST = 16, 8, 64, 2048
-#: Chunks that a worker keeps, and words.
-KEPT, WORDS = 8_000, 200_000
+#: Chunks that a worker keeps, and words at joins.
+KEPT, WORDS = 8_000, 100_000
+#: Letters of the texts whose chunks are encoded together, and pieces merged in one table.
+AHEAD, ROWS = 3_000_000, 4_096
+#: Documents whose ids are held together.
+TOGETHER = 1_000
 #: Chunks of the table that is sent to all tasks: at most ``SHARED`` of ``LONGEST`` bytes.
 SHARED = 8_192
 
@@ -49,6 +58,10 @@ SHARED = 8_192
 PIECE = rf"""'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"""
 #: No id.
 NONE = 0xFFFF
+#: Separators that ``str.split`` takes for white space and Unicode does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: The longest piece, in bytes, that is merged by scanning.
+SHORT = 64
 #: The longest alternative of fixed length in it: how far a piece's first letter looks ahead.
 LOOK = 3
 
@@ -97,6 +110,12 @@ def chunks(data: bytes, shortest: int = SHORTEST, longest: int = LONGEST, bits:
     return out
 
 
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = sizes.cumsum()
+    return np.arange(sizes.sum()) + np.repeat(begins - ends + sizes, sizes)
+
+
 @dataclass(slots=True)
 class Encoded:
     """A chunk by itself: its ids, and the part of it that no following text can change, as a
@@ -123,8 +142,13 @@ class ChunkEncoder:
         made = [vocab[x + y] for x, y in merges]
         if any(m >= n for m, n in zip(made, made[1:])) or max(vocab.values()) >= NONE:
             raise ValueError("ids of the vocabulary have to follow its merges")
+        pairs = np.array([*sorted(self.merge.items()), (2**32 - 1, NONE)], np.int64)
+        self.pairs, self.pair_makes = pairs[:, 0].astype(np.uint32), pairs[:, 1].astype(np.uint16)
         letters = {b: c for c, b in _byte_letters().items()}
         self.inner, self.final = ([vocab[letters[b] + end] for b in range(256)] for end in ("", self.suffix))
+        inner, final = np.array(self.inner, np.uint16), np.array(self.final, np.uint16)
+        #: Ids of letters within a piece and at its end, and what two letters merge to in both places.
+        self.letters = inner, final, np.stack([self.made_of(inner[:, None], end[None, :]) for end in (inner, final)])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.find_special = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
@@ -133,6 +157,8 @@ class ChunkEncoder:
         for text, k in every.items():
             self.token[k] = text
         self.piece = regex.compile(PIECE)
+        self.piece_or_line = regex.compile(PIECE + r"|\n")
+        self.run = regex.compile(f"[^{SPACE}]+")
         self.sizes = (shortest, longest, bits)
         self.words: dict[str, bytes] = {}
         self.kept: dict[bytes, Encoded] = {}
@@ -142,16 +168,18 @@ class ChunkEncoder:
         """Ids of one piece, two bytes each."""
         found = self.words.get(piece)
         if found is None:
-            data = piece.encode()
-            ids = [self.inner[b] for b in data]
-            ids[-1] = self.final[data[-1]]
-            found = array("H", self.merged(ids) if len(ids) <= 64 else self.merged_long(ids)).tobytes()
-            if len(piece) <= 64:
+            found = array("H", self.pieced(piece.encode())).tobytes()
+            if len(piece) <= SHORT:
                 if len(self.words) >= WORDS:
                     self.words.clear()
                 self.words[piece] = found
         return found
 
+    def pieced(self, data: bytes) -> list[int]:
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.final[data[-1]]
+        return self.merged(ids) if len(ids) <= SHORT else self.merged_long(ids)
+
     def merged(self, ids: list[int]) -> list[int]:
         """Merges, lowest rank first, leftmost among equals."""
         merge = self.merge.get
@@ -190,30 +218,94 @@ class ChunkEncoder:
                         heappush(heap, (again, left))
         return [k for k in ids if k != NONE]
 
-    def chunk(self, data: bytes) -> Encoded:
-        found = self.table.get(data) or self.kept.get(data)
-        if found is None:
-            found = self.encode_chunk(data)
-            if len(self.kept) >= KEPT:
-                for old in list(self.kept)[: KEPT // 4]:
-                    del self.kept[old]
-            self.kept[data] = found
-        return found
-
-    def encode_chunk(self, data: bytes) -> Encoded:
-        text = data.decode()
-        pieces = self.piece.findall(text)
-        found = list(map(self.words.get, pieces))
-        if None in found:
-            found = [ids or self.word(piece) for ids, piece in zip(found, pieces)]
-        ids = array("H", b"".join(found))
-        settled, tail, last = len(ids), len(text), len(text)
-        for piece, of_piece in zip(reversed(pieces), reversed(found)):
-            begin = text.rfind(piece, 0, last)  # between pieces there is only white space
-            if begin + LOOK <= len(text) and begin + len(piece) < len(text):
-                break
-            settled, tail, last = settled - len(of_piece) // 2, begin, begin
-        return Encoded(text, ids, settled, tail)
+    def made_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What pairs of ids merge to, ``NONE`` where they do not."""
+        pair = a.astype(np.uint32) << np.uint32(16) | b
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.pair_makes[at], np.uint16(NONE))
+
+    def merged_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``pieced`` for many: ids, and for each piece where its own begin and how many they are.
+
+        Short ones are rows of a table, filled up with ``NONE``; each step merges once in every row.
+        """
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        by_length = np.argsort(lengths, kind="stable")
+        short = int(np.searchsorted(lengths[by_length], SHORT, "right"))
+        places, sizes, found = [], [], []
+        inner, final, at_first = self.letters
+        for first in range(0, short, ROWS):
+            row = by_length[first : min(first + ROWS, short)]
+            length, width = lengths[row], int(lengths[row[-1]])
+            raw = np.frombuffer(b"".join([pieces[k].ljust(width, b"\0") for k in row.tolist()]), np.uint8).reshape(-1, width)
+            each = np.arange(len(row))
+            ids, made = inner[raw], at_first[0, raw[:, :-1], raw[:, 1:]]
+            ids[each, length - 1] = final[raw[each, length - 1]]
+            two = length > 1
+            made[each[two], length[two] - 2] = at_first[1, raw[each[two], length[two] - 2], raw[each[two], length[two] - 1]]
+            ids[np.arange(width) >= length[:, None]] = NONE
+            made[np.arange(1, width) >= length[:, None]] = NONE
+            while len(row):
+                ended = (made == NONE).all(1)
+                if ended.any():
+                    stands = ids[ended] != NONE
+                    places.append(row[ended])
+                    sizes.append(stands.sum(1))
+                    found.append(ids[ended][stands])
+                    row, ids, made = row[~ended], ids[~ended], made[~ended]
+                    continue
+                each, at = np.arange(len(row)), made.argmin(1)  # the leftmost among equals
+                ids[each, at] = made[each, at]
+                stays = np.ones(ids.shape, bool)
+                stays[each, at + 1] = False
+                ids = ids[stays].reshape(len(row), -1)
+                stays = np.ones(made.shape, bool)
+                stays[each, at] = False
+                made = made[stays].reshape(len(row), -1)
+                for some, k in ((at > 0, at - 1), (at < made.shape[1], at)):
+                    x, y = each[some], k[some]
+                    made[x, y] = self.made_of(ids[x, y], ids[x, y + 1])
+        for k in by_length[short:].tolist():
+            long = np.array(self.pieced(pieces[k]), np.uint16)
+            places.append(np.array([k]))
+            sizes.append(np.array([len(long)]))
+            found.append(long)
+        place, size = np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.int64), *sizes])
+        begins, own = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        begins[place], own[place] = size.cumsum() - size, size
+        return np.concatenate([np.zeros(0, np.uint16), *found]), begins, own
+
+    def runs(self, text: str) -> list[str]:
+        """What stands between white space."""
+        return self.run.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+
+    def encode_chunks(self, parts: list[bytes]) -> list[Encoded]:
+        """Each chunk by itself."""
+        texts = [data.decode() for data in parts]
+        runs = list(map(self.runs, texts))
+        coded = pa.array(chain.from_iterable(runs), pa.string()).dictionary_encode()
+        different, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        pieces = self.piece_or_line.findall("\n".join(different))
+        lines = [-1, *(k for k, piece in enumerate(pieces) if piece == "\n"), len(pieces)]
+        many = np.diff(np.array(lines)) - 1  # pieces of each run
+        ids, begins, sizes = self.merged_together([piece.encode() for piece in pieces if piece != "\n"])
+        of_piece = spread((many.cumsum() - many)[which], many[which])
+        all_ids = ids[spread(begins[of_piece], sizes[of_piece])].tobytes()
+        ends = np.append(0, sizes[of_piece].cumsum())[np.append(0, many[which].cumsum())]  # of the runs' ids
+        run_ends = np.fromiter(accumulate(map(len, runs), initial=0), np.int64, len(runs) + 1)
+        at, before = ends[run_ends].tolist(), ends[np.maximum(run_ends - 1, 0)].tolist()
+        out = []
+        for k, text in enumerate(texts):
+            settled, tail = at[k + 1] - at[k], len(text)
+            if runs[k] and text.endswith(last := runs[k][-1]):  # of this run, pieces stand that end before the chunk does
+                settled, begin = before[k + 1] - at[k], len(text) - len(last)
+                tail = begin
+                for m in self.piece.finditer(last):
+                    if begin + m.start() + LOOK > len(text) or begin + m.end() == len(text):
+                        break
+                    settled, tail = settled + len(self.word(m[0])) // 2, begin + m.end()
+            out.append(Encoded(text, array("H", all_ids[2 * at[k] : 2 * at[k + 1]]), settled, tail))
+        return out
 
     def normalised(self, text: str) -> str:
         if not text.isascii():
@@ -236,14 +328,37 @@ class ChunkEncoder:
                 yield from chunks(segment.encode(), *self.sizes)
 
     def encode(self, text: str) -> array:
-        out = array("H")
-        for segment, special in self.segments(text):
-            if special is not None:
-                out.append(special)
-            elif segment:
-                self._joined(list(map(self.chunk, chunks(segment.encode(), *self.sizes))), out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[array]:
+        """The ids of each text."""
+        out, ahead, size = [], [], 0
+        for number, text in enumerate(texts, 1):
+            ahead.append(text)
+            size += len(text)
+            if size >= AHEAD or number == len(texts):
+                out.extend(self._encoded(ahead))
+                ahead, size = [], 0
         return out
 
+    def _encoded(self, texts: list[str]) -> Iterator[array]:
+        cut = [[(chunks(s.encode(), *self.sizes), special) for s, special in self.segments(text)] for text in texts]
+        met = dict.fromkeys(chunk for segments in cut for parts, _ in segments for chunk in parts)
+        known = {chunk: found for chunk in met if (found := self.table.get(chunk) or self.kept.get(chunk)) is not None}
+        new = [chunk for chunk in met if chunk not in known]
+        known.update(zip(new, self.encode_chunks(new)))
+        self.kept.update((chunk, known[chunk]) for chunk in new[-KEPT:])
+        for old in list(self.kept)[: max(0, len(self.kept) - KEPT)]:
+            del self.kept[old]
+        for segments in cut:
+            out = array("H")
+            for parts, special in segments:
+                if special is not None:
+                    out.append(special)
+                elif parts:
+                    self._joined([known[chunk] for chunk in parts], out)
+            yield out
+
     def _joined(self, parts: list[Encoded], out: array) -> None:
         """Append the ids of all chunks, their joins repaired."""
         left, first = parts[0], 0  # ids of ``left`` from ``first`` on stand
@@ -337,9 +452,9 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], names=["digest", "chunk"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_chunk
+        encode = encoder(path).encode_chunks
         for batch in batches:
-            done = [encode(c) for c in batch.column(0).to_pylist()]
+            done = encode(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([e.ids.tobytes() for e in done], pa.binary()), *(pa.array([getattr(e, f) for e in done], pa.int32()) for f in ("settled", "tail"))],
                 names=["chunk", "ids", "settled", "tail"])
@@ -370,14 +485,15 @@ def encode(docs: DataFrame, path: str, decoded: bool = False, keep_text: bool =
         codec.table = {
             chunk: Encoded(chunk.decode(), array("H", ids), settled, tail) for chunk, (ids, settled, tail) in table.value.items()
         }
-        for batch in batches:
-            found = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
+        tokens = pa.array(codec.token, pa.string())
+        for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
+            found = codec.encode_all([t or "" for t in batch.column("text").to_pylist()])
             sizes = np.fromiter(accumulate(map(len, found), initial=0), np.int32, len(found) + 1)
             flat = np.concatenate([np.frombuffer(f, np.uint16) for f in found if f] or [np.zeros(0, np.uint16)])
             columns = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat.astype(np.int32)))]
             if decoded:
-                token = codec.token.__getitem__
-                columns.append(pa.array([" ".join(map(token, f)) for f in found], pa.string()))
+                each = pa.ListArray.from_arrays(pa.array(sizes), tokens.take(pa.array(flat)))
+                columns.append(pc.binary_join(each, " "))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], names=schema.names)
 
     return docs.mapInArrow(run, schema)
