@@ -180,6 +180,13 @@ def test_new_words_are_merged_together(library, monkeypatch):
     assert [ids[b : b + n].tolist() for b, n in zip(begins, sizes)] == list(map(codec.pieced, pieces))
     assert [len(part) for part in codec.merged_together([])] == [0, 0, 0]
 
+    together, encode_chunks = [], codec.encode_chunks
+    monkeypatch.setattr(chunked_bpe, "MOST", 50)
+    monkeypatch.setattr(codec, "encode_chunks", lambda parts: together.append(len(parts)) or encode_chunks(parts))
+    long = " ".join(word() for _ in range(4000))
+    assert list(codec.encode(long)) == library.encode(long, add_special_tokens=False).ids
+    assert max(together) == 50 and len(together) > 2
+
 
 def test_equal_passages_are_cut_alike():
     rng = random.Random(7)

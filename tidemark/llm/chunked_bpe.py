@@ -47,8 +47,8 @@ from tidemark.llm.token_counts import SPACE, _byte_letters
 WINDOW, CUT_BITS, SHORTEST, LONGEST = 16, 8, 64, 2048
 #: Chunks that a worker keeps, and words at joins.
 KEPT, WORDS = 8_000, 100_000
-#: Letters of the texts whose chunks are encoded together, and pieces merged in one table.
-AHEAD, ROWS = 3_000_000, 4_096
+#: Letters of the texts whose chunks are encoded together, the most of these chunks, and pieces merged in one table.
+AHEAD, MOST, ROWS = 3_000_000, 10_000, 4_096
 #: Documents whose ids are held together.
 TOGETHER = 1_000
 #: Chunks of the table that is sent to all tasks: at most ``SHARED`` of ``LONGEST`` bytes.
@@ -346,7 +346,8 @@ class ChunkEncoder:
         met = dict.fromkeys(chunk for segments in cut for parts, _ in segments for chunk in parts)
         known = {chunk: found for chunk in met if (found := self.table.get(chunk) or self.kept.get(chunk)) is not None}
         new = [chunk for chunk in met if chunk not in known]
-        known.update(zip(new, self.encode_chunks(new)))
+        for k in range(0, len(new), MOST):  # a very long text is not split into words as a whole
+            known.update(zip(new[k : k + MOST], self.encode_chunks(new[k : k + MOST])))
         self.kept.update((chunk, known[chunk]) for chunk in new[-KEPT:])
         for old in list(self.kept)[: max(0, len(self.kept) - KEPT)]:
             del self.kept[old]
