@@ -61,6 +61,18 @@ def test_tables_of_an_unstaged_rebuild_parse_a_document_once(spark):
     assert sorted(r.coding_code for r in main["problems"].collect()) == ["195967001", "J45"]
 
 
+def test_times_are_read_once_and_rows_formed_for_their_own_table(spark):
+    t = plan.rebuild(frame(spark, blob(fx.SAMPLE, "ccda")))
+    shown = t["medications"]._jdf.queryExecution().optimizedPlan().toString()
+    # vitals and results decide whether the document counts, which takes their times; their values are not formed
+    assert shown.count(", ^[0-9]{8}$)") == 2 and "IVL_PQ" not in shown and "IVL_TS" in shown
+    # the text is searched for its root tag once, in a branch of its kind
+    assert shown.count("regexp_extract(CASE WHEN") == 1
+    assert [tuple(r)[2:] for r in t["medications"].collect()] == [
+        (0, "http://www.nlm.nih.gov/research/umls/rxnorm", "745679", "745679 name", "active", "2 puff", "Inhaled",
+         None, "2019-03-10", None)]
+
+
 def citing(key):
     coding = {"system": "s", "code": "J45", "display": "d", "quote": "q", "section_label": "l"}
     return json.dumps({"document": key, "document_date": "2026-03-04", "title": "t", "codings": [coding],
