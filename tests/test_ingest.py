@@ -3,18 +3,20 @@ import hashlib
 import json
 import tempfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import fixtures_clinical as fx
 from helpers import ts
+from tidemark import schemas
 from tidemark.functions.clinical import STAGE_SYSTEM, coding_definitions
 from tidemark.plans.observations import with_labels
 from tidemark.plans import rebuild as plan
 from tidemark.plans.rebuild import parse_blobs
 from tidemark.plans.table import aligned_table
 from tidemark.sources import archive as A
-from tidemark.sources import tables
+from tidemark.sources import clinical_scan, tables
 from tidemark.specs import Coding, Column, EpisodeSpec
 
 BLOBS = """subject_id string, archive_key string, content binary, kind string, source string,
@@ -73,6 +75,51 @@ def test_times_are_read_once_and_rows_formed_for_their_own_table(spark):
          None, "2019-03-10", None)]
 
 
+PLAIN = fx.SAMPLE.replace("<!-- <not-a-root> -->\n", "")
+
+
+def test_plain_documents_are_read_without_building_their_elements(spark):
+    shown = plan.rebuild(frame(spark, blob(PLAIN, "ccda")))["medications"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(<x>, substr(" in shown  # the reader sees a plain text below a root outside its schema
+    odd = (fx.SAMPLE, PLAIN.replace("61.25", "&#54;1.25"), PLAIN.replace("<section>", "<Section>").replace("</section>", "</Section>"),
+           PLAIN.replace("61.25", "6 > 1"), PLAIN + "<x/>", PLAIN[:-20], PLAIN.replace('unit="kg"', 'unit="kg" x:unit="g"'), None, "", "<")
+    scanned = clinical_scan.scan_texts(pa.array([PLAIN, *odd, PLAIN])).to_pylist()
+    assert [r["plain"] for r in scanned] == [True, *(False for _ in odd), True]
+    assert scanned[0]["time"] == "20260101233000-0500" and scanned[0]["start"] == len('<?xml version="1.0" encoding="UTF-8"?>\n')
+    assert scanned[-1]["vitals"] == [{"code": "29463-7", "oid": fx.LOINC, "display": "29463-7 name", "time": "20260101120000+0000",
+                                      "kind": "PQ", "number": "61.25", "unit": "kg", "txt": None}]
+    shape = spark.createDataFrame([], schemas.CLINICAL_DOCUMENT).schema
+    children = lambda t: {f.name: children(f.dataType.elementType) for f in t.fields if f.name[0] != "_" and f.dataType.typeName() == "array"}
+    assert children(shape) == clinical_scan.TREE
+
+
+def test_plain_and_other_documents_give_the_same_rows(spark):
+    tr = '<translation value="63"><originalText>mg/dL</originalText></translation>'
+    values = (
+        fx.pq(1), fx.pq("many"), f'<value xsi:type="PQ" nullFlavor="OTH">{tr}</value>', f'<value xsi:type="PQ"><translation/>{tr}</value>',
+        f'<value xsi:type="PQ"><originalText>own</originalText>{tr}</value>', '<value xsi:type="PQ" value="1"><originalText>own</originalText></value>',
+        '<value xsi:type="IVL_PQ">\n<low value="5" unit="mg"/><high value="7.5"/></value>', '<value xsi:type="CD" code="A"/>',
+        "<value>a b</value>", "<value></value>", "<value> </value>", "<value/>", '<value xsi:type="ST">é</value><value xsi:type="PQ" value="2"/>', "")
+    seen = fx.observation(fx.pq(3))
+    docs = [fx.document(fx.section("30954-2", fx.panel(fx.observation(v)), f"<entry>{fx.observation(v)}</entry>", fx.panel(seen, seen))) for v in values]
+    vital, ill, drug = fx.section("8716-3", fx.panel(seen)), fx.section("11450-4", fx.problem("1")), fx.section("10160-0", fx.medication("7"))
+    second = "<component><structuredBody>" + vital + "</structuredBody></component></ClinicalDocument>"
+    docs += [
+        fx.document(vital, ill, drug, vital, fx.section("0", fx.panel(seen))), fx.document(vital.replace("</section>", f"</section>{drug[11:-12]}")),
+        fx.document(drug).replace("</ClinicalDocument>", second), fx.document(), fx.document(ill).replace('"CD"', "'CD'"),
+        fx.document(fx.section("11450-4", fx.problem("1", status=None))), fx.document(vital).replace("effectiveTime", "time"),
+        fx.document(vital).replace("<section>", f"<section>{fx.code('30954-2')}"), fx.document(vital, drug)[:-9] + "\n</Document>",
+        fx.document(fx.section("10160-0", fx.medication("7", '\n<high value="20200101"/><low value="2019"/>')))]
+    plain = [d.replace("<!-- <not-a-root> -->\n", "") for d in docs]
+    odd = [d.replace("<component>", "<!-- a comment --><component>", 1) for d in plain]
+    scanned = clinical_scan.scan_texts(pa.array(plain + odd)).field("plain").to_pylist()
+    assert sum(scanned[:len(docs)]) >= len(docs) - 3 and not any(scanned[len(docs):])
+    shown = ("reject_reason", "document_date", "observations", "problems", "medications")
+    rows = {r.archive_key: tuple(r[c] or None for c in shown) for r in parse_blobs(frame(spark, *(blob(t, "ccda") for t in plain + odd))).collect()}
+    for p, o in zip(plain, odd):
+        assert rows[blob(p, "ccda")[1]] == rows[blob(o, "ccda")[1]], p
+
+
 def citing(key):
     coding = {"system": "s", "code": "J45", "display": "d", "quote": "q", "section_label": "l"}
     return json.dumps({"document": key, "document_date": "2026-03-04", "title": "t", "codings": [coding],
